@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftwork.llm import secrets, urls
-from graftwork.llm.common import table
+from graftwork.llm import langid, linededup, packing, secrets, urls, warc
+from graftwork.llm.common import held_out, table
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -18,6 +18,26 @@ URL_RULES = [
 BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary(), 2048)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(spark, table(spark, sf_dir, "documents"), min_docs=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(spark, table(spark, sf_dir, "pages"), min_revisit=1000)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
 
@@ -29,4 +49,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in secrets.KINDS), F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op5_url_filters, op8_secret_scans)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = langid.fit_prototypes(docs.filter(langid.learnable(F.col("doc_id"))))
+    told = langid.identify(docs.select("doc_id", "text"), prototypes)
+    return told.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_warc, op5_url_filters, op8_secret_scans, op10_language_id)}
