@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftwork.llm import langid, linededup, packing, secrets, urls, warc
+from graftwork.llm import decontam, embeddup, langid, linededup, lm, neardup, packing, secrets, urls, warc
 from graftwork.llm.common import held_out, table
 
 URL_RULES = [
@@ -33,6 +33,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(spark, table(spark, sf_dir, "documents"), 7, 2).withColumnRenamed("id", "doc_id")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(spark, table(spark, sf_dir, "pages"), min_revisit=1000)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,6 +46,16 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.tile_pairs(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "n_tiles", "covered", "item_words", F.round("coverage", 6).alias("coverage"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.stop)), ",")
@@ -49,6 +63,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in secrets.KINDS), F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_vectors(spark, table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = langid.fit_prototypes(docs.filter(langid.learnable(F.col("doc_id"))))
@@ -56,4 +74,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_warc, op5_url_filters, op8_secret_scans, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_lm_scoring, op4_warc, op5_url_filters, op6_minhash_near_dedup, op7_benchmark_decontamination, op8_secret_scans, op9_embedding_near_dedup, op10_language_id)}
