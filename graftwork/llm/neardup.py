@@ -227,7 +227,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
 
     def held(nodes: DataFrame) -> DataFrame:
         """Nodes' rows with signature and component, without nodes of one component."""
-        rows_ = nodes.join(known, "rep").join(roots, F.col("rep") == F.col("id"), "left").select("node", "rep", "size", "n", "sig", F.coalesce("root", "rep").alias("comp"))
+        rows_ = nodes.join(known, "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "size", "n", "sig", F.coalesce("root", "rep").alias("comp"))
         mixed = rows_.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node")
         return rows_.join(mixed, "node", "left_semi")
 
@@ -270,8 +270,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
         nodes = scratch.save(down.join(sizes, "node"), f"nodes-{level}")
         scratch.drop(f"nodes-{level - 1}", f"held-{level - 1}")
 
-    member = rows.filter("n > 0").join(classes, "h").join(roots, F.col("rep") == F.col("id"), "left").select("row", F.coalesce("root", "rep").alias("comp"))
-    whole = rows.select("row", rows["id"].alias("key"), "n", "a", "b").join(member, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    root = roots.withColumnRenamed("id", "rep")
+    member = rows.filter("n > 0").select("row", "h").join(classes, "h").join(root, "rep", "left").select("row", F.coalesce("root", "rep").alias("comp"))
+    whole = rows.select("row", F.col("id").alias("key"), "n", "a", "b").join(member, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     whole = scratch.save(whole, "members")
     least = whole.groupBy("comp").agg(F.min("key").alias("component_id"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("lead"))
     return whole.join(least, "comp").select(
