@@ -19,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,9 @@ from graftwork.llm.common import Scratch
 CAPACITY = 2048
 END_ID = 0
 #: Distinct white-space-free chunks whose ids a worker remembers; beyond this it starts anew.
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 400_000
+#: Characters of texts whose new chunks are encoded together.
+BLOCK_CHARS = 4 << 20
 
 
 class ChunkTokenizer:
@@ -45,22 +48,36 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task; threads would only contend
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; new chunks of some megabytes of texts are encoded in one call."""
+        block: list[list[str]] = []
+        size = 0
+        for text in texts:
+            block.append(text.replace("\n", " ").split(" "))
+            size += len(text)
+            if size > BLOCK_CHARS:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def _block(self, block: list[list[str]]) -> Iterator[bytes]:
         known = self.known
-        new = list({c for c in chunks if c not in known})
+        new = set().union(*block).difference(known)
         if new:
             if len(known) + len(new) > MAX_CHUNKS:
                 known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                new = set().union(*block)
+            order = list(new)
+            for c, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
                 known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+        for chunks in block:
+            yield b"".join([known[c] for c in chunks])
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Counter, int]], int]:
@@ -160,8 +177,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str, text:
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             index, rows = [], []
-            for i, t in enumerate(batch.column("t").to_pylist()):
-                ids = tok.encode(t) + end
+            for i, ids in enumerate(tok.encode(batch.column("t").to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     length = min(capacity, n - start)
