@@ -24,8 +24,8 @@ from graftwork.llm import decontam, langid, linededup, neardup, packing
 from graftwork.llm.common import Scratch, table
 from graftwork.llm.queries import vocabulary
 
-#: Cosine under which a text is in no learned language.
-MIN_COSINE = 0.2
+#: Cosine under which a text is in no learned language; that of unrelated vectors is around 0.04.
+MIN_COSINE = 0.05
 #: Flagged rows up to this many are broadcast, more are joined by shuffle.
 MAX_BROADCAST = 100_000
 

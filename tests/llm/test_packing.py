@@ -28,7 +28,11 @@ def test_pieces_and_places(spark):
         g = g.sort_values("offset")
         ends = (g["offset"] + g["length"]).tolist()
         assert g["offset"].tolist() == [0, *ends[:-1]] and ends[-1] <= 256
-    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 256) + 1
+    assert got["sequence_id"].nunique() <= least_bins(Counter(got["length"].tolist()), 256) * 11 / 9 + 1
+
+
+def least_bins(counts, capacity):
+    return max(-(-sum(n * c for n, c in counts.items()) // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
 
 
 def test_empty_table(spark):
@@ -54,8 +58,7 @@ def test_plan_uses_every_piece_once(seed):
         for n, k in pattern.items():
             used[n] += k * times
     assert used == counts and total == sum(t for _, t in patterns)
-    bound = -(-sum(n * c for n, c in counts.items()) // 100)
-    assert total <= max(bound * 11 / 9 + 1, sum(c for n, c in counts.items() if n > 50))
+    assert total <= least_bins(counts, 100) * 11 / 9 + 1
 
 
 def test_the_exchange_fits_two_more_tightly():
