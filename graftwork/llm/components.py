@@ -40,3 +40,12 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
+
+
+def joined(scratch: Scratch, roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(id, root) after more links: only these, between roots, are worked on."""
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    new = components(scratch, between, name)
+    moved = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(new.join(roots.select("id"), "id", "left_anti"))

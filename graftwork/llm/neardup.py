@@ -9,8 +9,8 @@ estimate (4.75 standard deviations below the threshold) and a size bound, and
 are confirmed on full sets; links make components.
 
 Work that can't change a component is left out: documents with equal sets are
-one class from the start; each node first links to leaders, and only nodes
-that still hold more than one component are compared or branched further. So a
+one class from the start; each node of the first level links to leaders, and
+only nodes that then hold more than one component are branched or compared. So a
 group of thousands of copies costs a star, not its pairs. Nodes that are
 still large at the last level are compared in blocks.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.llm.common import Scratch
-from graftwork.llm.components import components
+from graftwork.llm.components import components, joined
 from graftwork.llm.shingles import MinHash, WordHasher, common, mix, shingle_set
 
 PLACES = 128
@@ -219,38 +219,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     texts = scratch.save(names.join(known.select("a", "b", "rep"), ["a", "b"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
     known = known.select("rep", "n", "sig")
 
-    links = scratch.save(spark.createDataFrame([], "a bigint, b bigint"), "links-0")
-    tried = scratch.save(spark.createDataFrame([], "x bigint, y bigint"), "tried-0")
-    roots = spark.createDataFrame([], "id bigint, root bigint")
-    step = 0
-    level = 1
-
     def held(nodes: DataFrame) -> DataFrame:
         """Nodes' rows with signature and component, without nodes of one component."""
         rows_ = nodes.join(known, "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "size", "n", "sig", F.coalesce("root", "rep").alias("comp"))
         mixed = rows_.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node")
         return rows_.join(mixed, "node", "left_semi")
 
-    def linked(pairs: DataFrame) -> None:
-        nonlocal links, tried, roots, step
-        step += 1
-        new = scratch.save(pairs.distinct().join(tried, ["x", "y"], "left_anti"), f"new-{step}")
-        if new.isEmpty():
-            return
-        found = scratch.save(confirm(new, texts, shingle, num, den), f"found-{step}")
-        tried = tried.unionByName(new)
-        links = links.unionByName(found)
-        roots = components(scratch, links, f"roots-{step}")
-
     chunks = F.ceil(F.col("size") / CHUNK)
     chunk = F.pmod(F.xxhash64("rep", "node"), chunks)
     side = F.lit(0).alias("side")
     stars = nodes.join(known, "rep").select(F.xxhash64("node", chunk).alias("part"), side, "rep", "n", F.col("rep").alias("comp"), "sig")
-    linked(candidates(stars, need, num, den, stars=True))
-    while True:
+    pairs = scratch.save(candidates(stars, need, num, den, stars=True).distinct(), "star-pairs")
+    roots = components(scratch, scratch.save(confirm(pairs, texts, shingle, num, den), "star-links"), "star-roots")
+
+    small: DataFrame | None = None
+    for level in range(1, DEPTH + 1):
         rows_ = scratch.save(held(nodes), f"held-{level}")
-        small = rows_.filter(F.col("size") <= SMALL).select(F.col("node").alias("part"), side, "rep", "n", "comp", "sig")
-        linked(candidates(small, need, num, den, stars=False))
+        own = rows_.filter(F.col("size") <= SMALL).select(F.col("node").alias("part"), side, "rep", "n", "comp", "sig")
+        small = own if small is None else small.unionByName(own)
         large = rows_.filter(F.col("size") > SMALL)
         if large.isEmpty():
             break
@@ -262,13 +248,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
                 F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
                 "rep", "n", "comp", "sig",
             )
-            linked(candidates(blocks, need, num, den, stars=False))
+            small = small.unionByName(blocks)
             break
-        level += 1
         down = children_of(large)
         sizes = down.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        nodes = scratch.save(down.join(sizes, "node"), f"nodes-{level}")
-        scratch.drop(f"nodes-{level - 1}", f"held-{level - 1}")
+        nodes = scratch.save(down.join(sizes, "node"), f"nodes-{level + 1}")
+    rest = scratch.save(candidates(small, need, num, den, stars=False).distinct().join(pairs, ["x", "y"], "left_anti"), "rest-pairs")
+    roots = joined(scratch, roots, scratch.save(confirm(rest, texts, shingle, num, den), "rest-links"), "rest-roots")
 
     root = roots.withColumnRenamed("id", "rep")
     member = rows.filter("n > 0").select("row", "h").join(classes, "h").join(root, "rep", "left").select("row", F.coalesce("root", "rep").alias("comp"))
