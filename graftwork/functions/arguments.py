@@ -85,7 +85,7 @@ def triple_facts(triple: Column) -> Column:
 
 def printed_facts(lines: Column) -> Column:
     """map(key -> values) from an array of printed lines: `flag` or `key="value"`."""
-    clean = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
     keys = F.array_sort(F.array_distinct(F.transform(clean, lambda x: F.substring_index(x, "=", 1))))
     values = lambda k: F.array_sort(F.transform(F.filter(clean, lambda x: x.startswith(F.concat(k, F.lit("=")))), lambda x: F.regexp_replace(F.substr(x, F.length(k) + 2), '^"|"$', "")))
     return F.map_from_arrays(keys, F.transform(keys, values))

@@ -265,7 +265,7 @@ def with_fallback(rows: DataFrame, runs: DataFrame) -> DataFrame:
     The message is the first line that starts with `error:`, else the first
     line that isn't blank.
     """
-    lines = F.filter(F.transform(F.split("stderr", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("stderr", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     said = F.coalesce(F.try_element_at(F.filter(lines, lambda x: x.startswith("error:")), F.lit(1)), F.try_element_at(lines, F.lit(1)), F.lit("check failed"))
     silent = runs.filter("not success").join(rows.select("run").distinct(), "run", "left_anti")
     extra = silent.select("run", F.lit("error").alias("level"), said.alias("message"), F.lit("cargo-stderr").alias("code"), F.col("stderr").alias("rendered"))
