@@ -74,26 +74,33 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def signatures(table: pa.Table | pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u4").reshape(-1, PLACES)
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
 
 
-def signed(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(id, a, b, n, h, sig) of each row: a and b name its key and text, h its set."""
+def signed(docs: DataFrame, key: str, text: str, shingle: int, trees: int) -> DataFrame:
+    """(id, a, b, n, h, first, sig) of each row: a and b name its key and text, h its set.
+
+    `first` has the whole minima that the trees' roots branch by, `sig` the low
+    byte of every minimum, enough to branch further and to estimate.
+    """
     source = docs.select(F.col(key).alias("id"), *(F.xxhash64(F.lit(s), F.col(key), F.col(text)).alias(x) for s, x in enumerate("ab")), F.coalesce(text, F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, minhash = WordHasher(), MinHash(PLACES)
         for batch in batches:
-            n, h, sig = [], [], []
+            n, h, first, sig = [], [], [], []
             for t in batch.column("t").cast(pa.binary()).to_pylist():
                 s = shingle_set(hasher, t, shingle)
                 n.append(len(s))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sig.append(minhash(s).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.binary())], names=["id", "a", "b", "n", "h", "sig"])
+                low = minhash(s)
+                first.append(low[roots].tobytes())
+                sig.append(low.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (h, first, sig))], names=["id", "a", "b", "n", "h", "first", "sig"])
 
+    roots = np.arange(trees) * PLACES // trees
     kind = dict(source.dtypes)["id"]
-    return source.mapInArrow(run, f"id {kind}, a bigint, b bigint, n bigint, h binary, sig binary")
+    return source.mapInArrow(run, f"id {kind}, a bigint, b bigint, n bigint, h binary, first binary, sig binary")
 
 
 def roots_of(reps: DataFrame, trees: int) -> DataFrame:
@@ -101,13 +108,12 @@ def roots_of(reps: DataFrame, trees: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = signatures(batch).astype(np.uint64)
+            first = np.frombuffer(b"".join(batch.column("first").to_pylist()), dtype="<u4").reshape(-1, trees).astype(np.uint64)
             for t in range(trees):
-                place = t * PLACES // trees
-                node = mix(sig[:, place] + np.uint64((t + 1) << 40))
+                node = mix(first[:, t] + np.uint64((t + 1) << 40))
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("rep")], names=["node", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "node bigint, rep bigint")
+    return reps.select("rep", "first").mapInArrow(run, "node bigint, rep bigint")
 
 
 def children_of(nodes: DataFrame) -> DataFrame:
@@ -204,38 +210,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     """Per row: id, n_shingles, component_id, kept, first, and a, b (hashes of the row's key and text)."""
     scratch = Scratch(spark, "neardup")
     threshold = num / den
+    trees = trees_for(threshold)
     need = math.ceil(PLACES * (threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / PLACES)))
-    rows = scratch.save(signed(docs, key, text, shingle).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = scratch.save(signed(docs, key, text, shingle, trees).withColumn("row", F.monotonically_increasing_id()), "rows")
     full = rows.filter("n > 0")
     classes = scratch.save(full.groupBy("h").agg(F.min("row").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "n", "sig", "a", "b")
+    reps = full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "n", "first", "sig", "a", "b")
 
-    first = roots_of(reps, trees_for(threshold))
+    first = roots_of(reps, trees)
     sizes = first.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     nodes = scratch.save(first.join(sizes, "node"), "nodes-1")
-    seen = nodes.select("rep").distinct()
+    known = scratch.save(reps.drop("first").join(nodes.select("rep").distinct(), "rep"), "known")
     names = docs.select(*(F.xxhash64(F.lit(s), F.col(key), F.col(text)).alias(x) for s, x in enumerate("ab")), F.col(text).alias("text"))
-    known = scratch.save(reps.join(seen, "rep"), "known")
     texts = scratch.save(names.join(known.select("a", "b", "rep"), ["a", "b"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
     known = known.select("rep", "n", "sig")
 
     def held(nodes: DataFrame) -> DataFrame:
-        """Nodes' rows with signature and component, without nodes of one component."""
-        rows_ = nodes.join(known, "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "size", "n", "sig", F.coalesce("root", "rep").alias("comp"))
+        """Nodes' rows with their component, without nodes of one component; signatures join only what is left."""
+        rows_ = nodes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "size", F.coalesce("root", "rep").alias("comp"))
         mixed = rows_.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("node")
         return rows_.join(mixed, "node", "left_semi")
 
     chunks = F.ceil(F.col("size") / CHUNK)
     chunk = F.pmod(F.xxhash64("rep", "node"), chunks)
     side = F.lit(0).alias("side")
-    stars = nodes.join(known, "rep").select(F.xxhash64("node", chunk).alias("part"), side, "rep", "n", F.col("rep").alias("comp"), "sig")
-    pairs = scratch.save(candidates(stars, need, num, den, stars=True).distinct(), "star-pairs")
+    stars = nodes.select(F.xxhash64("node", chunk).alias("part"), side, "rep", F.col("rep").alias("comp"))
+    pairs = scratch.save(candidates(stars.join(known, "rep"), need, num, den, stars=True).distinct(), "star-pairs")
     roots = components(scratch, scratch.save(confirm(pairs, texts, shingle, num, den), "star-links"), "star-roots")
 
     small: DataFrame | None = None
     for level in range(1, DEPTH + 1):
         rows_ = scratch.save(held(nodes), f"held-{level}")
-        own = rows_.filter(F.col("size") <= SMALL).select(F.col("node").alias("part"), side, "rep", "n", "comp", "sig")
+        own = rows_.filter(F.col("size") <= SMALL).select(F.col("node").alias("part"), side, "rep", "comp")
         small = own if small is None else small.unionByName(own)
         large = rows_.filter(F.col("size") > SMALL)
         if large.isEmpty():
@@ -246,14 +252,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
             blocks = mine.select(
                 F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("part"),
                 F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
-                "rep", "n", "comp", "sig",
+                "rep", "comp",
             )
             small = small.unionByName(blocks)
             break
-        down = children_of(large)
+        down = children_of(large.select("node", "rep").join(known.select("rep", "sig"), "rep"))
         sizes = down.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         nodes = scratch.save(down.join(sizes, "node"), f"nodes-{level + 1}")
-    rest = scratch.save(candidates(small, need, num, den, stars=False).distinct().join(pairs, ["x", "y"], "left_anti"), "rest-pairs")
+    rest = scratch.save(candidates(small.join(known, "rep"), need, num, den, stars=False).distinct().join(pairs, ["x", "y"], "left_anti"), "rest-pairs")
     roots = joined(scratch, roots, scratch.save(confirm(rest, texts, shingle, num, den), "rest-links"), "rest-roots")
 
     root = roots.withColumnRenamed("id", "rep")
