@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SURFACES = (
-    "reachable_callables", "reachable_items", "rendered_callables", "rendered_items", "rendered_members", "rendered_assoc_items", "used_callables",
-    "used_items", "blocked_by_unknown_callables", "blocked_by_unknown_items", "prunable_callables", "prunable_items", "unknown_surfaces", "macro_surfaces",
-)
+    *(f"{state}_{kind}" for state in ("used", "reachable", "prunable", "blocked_by_unknown", "rendered") for kind in ("callables", "items")),
+    *(f"rendered_{kind}" for kind in ("assoc_items", "members")),
+    *(f"{kind}_surfaces" for kind in ("macro", "unknown")),
+)
 
 
 def pivot_with_seeds(rows: DataFrame, seeds: DataFrame, key: str, tag: str, tags: tuple[str, ...], unknown: str | None = None) -> DataFrame:

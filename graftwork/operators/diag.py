@@ -139,7 +139,7 @@ def hazards(rows: DataFrame) -> DataFrame:
     return distinct.orderBy(rank, "kind", "code", "message")
 
 
-NOUNS = ("function", "method", "associated function", "associated items", "associated constant", "constant", "enum", "module", "static", "struct", "type alias", "union", "trait", "field", "fields", "variant", "variants")
+NOUNS = tuple(sorted("trait union static module enum constant method function struct variant variants field fields".split() + ["type alias", "associated items", "associated function", "associated constant"]))
 
 
 def is_repairable(level: Column, code: Column, message: Column) -> Column:

@@ -68,7 +68,7 @@ def strip_absolute_roots(text: Column, packages: list[str]) -> Column:
 
 def remove_use_name(text: Column, name: str) -> Column:
     """Take a name out of `use` declarations: the whole line, or its place in a group, multi-line ones too."""
-    whole = rf"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use[ \t]+(?:[\w]+::)*{name}[ \t]*;[ \t]*\n?"
+    whole = rf"(?m)^[ \t]*(?:pub(?:\([\w: ]+\))?[ \t]+)?use[ \t]+(?:[\w]+::)*{name}[ \t]*;[ \t]*\n?"
     grouped = rf"(?<=[{{,])\s*{name}\s*(?:,|(?=}}))"
     return F.regexp_replace(F.regexp_replace(text, whole, ""), grouped, "")
 
@@ -76,7 +76,7 @@ def remove_use_name(text: Column, name: str) -> Column:
 def insert_above(text: Column, line: Column, attribute: str) -> Column:
     """Put an attribute, as deeply indented, above the nearest item that starts on or before the line."""
     lines = F.split(text, "\n")
-    starts = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.when((i <= line) & F.element_at(lines, i).rlike(r"^\s*(pub(\([^)]*\))?\s+)?(struct|enum|union|trait|type|fn|mod|const|static)\s"), i))
+    starts = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.when((i <= line) & F.element_at(lines, i).rlike(r"^\s*(pub(\([\w: ]+\))?\s+)?(struct|enum|union|trait|type|fn|mod|const|static)\s"), i))
     at = F.array_max(starts)
     indent = F.regexp_extract(F.element_at(lines, at), r"^(\s*)", 1)
     put = F.array_join(F.concat(F.slice(lines, F.lit(1), at - 1), F.array(F.concat(indent, F.lit(attribute))), F.slice(lines, at, F.size(lines))), "\n")

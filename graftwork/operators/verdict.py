@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DISCHARGED = (
-    "conditional_compilation_attrs", "custom_attribute_macros", "custom_derive_macros", "custom_macro_invocations", "dynamic_callback_boundaries",
-    "semantic_analyzer_unavailable", "semantic_file_budget_exhausted", "semantic_file_failures", "semantic_inventory_available",
-    "semantic_inventory_not_applied", "semantic_inventory_partially_applied", "semantic_method_call_budget_exhausted", "semantic_path_budget_exhausted",
-    "semantic_reduction_hints_applied", "semantic_unresolved_method_calls", "semantic_unresolved_paths", "syntactic_method_fallback_cap", "syntactic_method_fallbacks",
-)
+#: Warnings that an accepted check answers, by the first word of their codes.
+ANSWERED = {
+    "semantic": "unresolved_paths unresolved_method_calls reduction_hints_applied path_budget_exhausted method_call_budget_exhausted file_failures file_budget_exhausted analyzer_unavailable "
+    "inventory_partially_applied inventory_not_applied inventory_available",
+    "custom": "macro_invocations derive_macros attribute_macros",
+    "syntactic": "method_fallbacks method_fallback_cap",
+    "dynamic": "callback_boundaries",
+    "conditional": "compilation_attrs",
+}
+DISCHARGED = tuple(f"{word}_{rest}" for word, rests in ANSWERED.items() for rest in rests.split())
 
 
 def warning_discharged(code: Column) -> Column:
@@ -55,7 +59,7 @@ def proof_status() -> Column:
     return F.when(c("selected_root_source_files") > 0, rooted).otherwise(whole)
 
 
-BLOCKING = ("not_available", "empty", "selected_root_failed", "selected_root_limited", "workspace_failed", "workspace_limited")
+BLOCKING = ("empty", "not_available", *(f"{scope}_{state}" for scope in ("workspace", "selected_root") for state in ("limited", "failed")))
 
 
 def proof_blocks(status: Column) -> Column:

@@ -64,13 +64,13 @@ def read_sources(spark: SparkSession, path: str, glob: str = "*.rs") -> DataFram
     return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-ITEM = r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:async\s+|const\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*"
+ITEM = r"^\s*(?:pub(?:\([\w: ]+\))?\s+)?(?:default\s+)?(?:async\s+|const\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*"
 PATTERNS = {
     "fn": ITEM + r"fn\s+([A-Za-z_]\w*)",
     "struct": ITEM + r"struct\s+([A-Za-z_]\w*)",
     "enum": ITEM + r"enum\s+([A-Za-z_]\w*)",
     "trait": ITEM + r"trait\s+([A-Za-z_]\w*)",
-    "mod": ITEM + r"mod\s+([A-Za-z_]\w*)",
+    "mod": ITEM + r"mod\s+([A-Z_a-z]\w*)",
 }
 LOOK_BACK = 5
 
@@ -95,7 +95,7 @@ def scan_items(files: DataFrame) -> DataFrame:
 
 def declared_modules(files: DataFrame) -> DataFrame:
     """(path, module, candidates) of `mod x;` lines: an explicit path, else x.rs, else x/mod.rs, below the file's own folder."""
-    found = source_lines(files).withColumn("module", F.nullif(F.regexp_extract("line", r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+([A-Za-z_]\w*)\s*;", 1), F.lit(""))).filter("module is not null")
+    found = source_lines(files).withColumn("module", F.nullif(F.regexp_extract("line", r"^\s*(?:pub(?:\([\w: ]+\))?\s+)?mod\s+([A-Z_a-z]\w*)\s*;", 1), F.lit(""))).filter("module is not null")
     folder = F.regexp_replace("path", r"/[^/]*$", "")
     stem = F.regexp_extract("path", r"([^/]*)\.rs$", 1)
     base = F.when(stem.isin("mod", "lib", "main"), folder).otherwise(F.concat(folder, F.lit("/"), stem))
@@ -115,7 +115,7 @@ def imports(files: DataFrame) -> DataFrame:
 
     `a::{self}` gives the key `self`; a later entry of a name overwrites an earlier one.
     """
-    uses = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(?:^|\n)\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);"), F.lit(1))).alias("u"))
+    uses = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(?:^|\n)\s*(?:pub(?:\([\w: ]+\))?\s+)?use\s+([^;]+);"), F.lit(1))).alias("u"))
     clean = F.regexp_replace("u", r"\s+", " ")
     prefix = F.regexp_extract(clean, r"^(.*?)::\s*\{", 1)
     inner = F.regexp_extract(clean, r"\{(.*)\}\s*$", 1)

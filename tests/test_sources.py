@@ -14,7 +14,7 @@ def test_compiler_messages(spark, tmp_path):
     offer = SPAN | {"suggested_replacement": "x", "suggestion_applicability": "MachineApplicable"}
     lines = [
         "not json", json.dumps({"reason": "build-finished"}), json.dumps({"reason": "compiler-message", "message": {"message": "no level"}}),
-        json.dumps({"reason": "compiler-message", "package_id": "p", "target": {"name": "t", "kind": ["lib"]}, "message": {"level": "error", "message": "m", "code": None, "spans": [SPAN, {"file_name": "broken"}], "children": [{"level": "help", "message": "try", "spans": [offer], "children": [{"level": "note", "message": "deep", "spans": [offer | {"suggested_replacement": "y"}]}]}]}}),
+        json.dumps({"package_id": "p", "reason": "compiler-message", "target": {"name": "t", "kind": ["lib"]}, "message": {"level": "error", "message": "m", "code": None, "spans": [SPAN, {"file_name": "broken"}], "children": [{"level": "help", "message": "try", "spans": [offer], "children": [{"level": "note", "message": "deep", "spans": [offer | {"suggested_replacement": "y"}]}]}]}}),
         json.dumps({"reason": "compiler-message", "message": {"level": "warning", "message": "w", "code": {"code": "dead_code"}, "spans": [{"file_name": 7, "line_start": "bad"}]}}),
     ]
     (tmp_path / "log.json").write_text("\n".join(lines))
