@@ -171,7 +171,12 @@ def write_dictionaries(counts: DataFrame, folder: str, classes: np.ndarray) -> n
             temp = f"{root}/{chunk}-{uuid.uuid4().hex}"
             with fs.open_output_stream(temp) as f, pa.ipc.new_stream(f, kept.schema) as w:
                 w.write_table(kept)
-            fs.move(temp, f"{root}/{chunk}.arrow")
+            try:
+                fs.move(temp, f"{root}/{chunk}.arrow")
+            except OSError:  # some file systems don't replace what another attempt wrote
+                if fs.get_file_info(f"{root}/{chunk}.arrow").type != pafs.FileType.File:
+                    raise
+                fs.delete_file(temp)
             stats = np.zeros(2 + CLASSES)
             for word, n, c, first in zip(*(g.column(x).to_pylist() for x in ("word", "n", "c", "first"))):
                 stats[0] += n
