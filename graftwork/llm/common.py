@@ -35,6 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -44,6 +45,7 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.at(name))
+        self.names.add(name)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
@@ -59,8 +61,13 @@ class Scratch:
             out.close()
         return self.at(name)
 
+    def keep(self, *names: str) -> None:
+        """Drop all other tables."""
+        self.drop(*(self.names - set(names)))
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
+        self.names -= set(names)
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.at(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

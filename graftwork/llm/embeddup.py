@@ -314,5 +314,6 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     by_class = by_class.select("v", F.coalesce("root", "rep").alias("comp"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     whole = rows.select("row", F.col("id").alias("key"), "v").join(by_class, "v", "left")
     whole = scratch.save(whole.select("row", "key", F.coalesce("comp", "row").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "members")
+    scratch.keep("members")
     least = whole.groupBy("comp").agg(F.min("key").alias("component_id"))
     return whole.join(least, "comp").select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

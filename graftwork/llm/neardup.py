@@ -266,6 +266,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     member = rows.filter("n > 0").select("row", "h").join(classes, "h").join(root, "rep", "left").select("row", F.coalesce("root", "rep").alias("comp"))
     whole = rows.select("row", F.col("id").alias("key"), "n", "a", "b").join(member, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     whole = scratch.save(whole, "members")
+    scratch.keep("members")
     least = whole.groupBy("comp").agg(F.min("key").alias("component_id"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("lead"))
     return whole.join(least, "comp").select(
         F.col("key").alias("id"),
