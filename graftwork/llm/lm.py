@@ -45,11 +45,11 @@ from graftwork.llm.shingles import mix, words
 
 CHUNK_BYTES = 32 << 20
 ENDINGS = 512
-CLASSES = 64
+CLASSES = 32
 END, UNKNOWN, FIRST = 0, 1, 2
 WORD_ROWS = 1 << 13
 ROWS = 2 * WORD_ROWS + 2 * CLASSES * CLASSES
-BATCH = 4096
+BATCH = 8192
 ROUNDS = 2
 RATE = 0.15
 
@@ -246,31 +246,37 @@ def features(kind: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     h = np.concatenate([np.zeros(2, dtype=np.uint64), hashed])
     k = np.concatenate([np.zeros(3, dtype=np.int64), kind])
     last, skip = mix(h[1 : n + 1] + np.uint64(1)), mix(h[:n] + np.uint64(2))
-    out = np.empty((n, 4), dtype=np.int64)
-    out[:, 0] = (last % np.uint64(WORD_ROWS)).astype(np.int64)
-    out[:, 1] = WORD_ROWS + (skip % np.uint64(WORD_ROWS)).astype(np.int64)
+    out = np.empty((n, 4), dtype=np.uint16, order="F")
+    out[:, 0] = last % np.uint64(WORD_ROWS)
+    out[:, 1] = WORD_ROWS + skip % np.uint64(WORD_ROWS)
     out[:, 2] = 2 * WORD_ROWS + k[2 : n + 2] * CLASSES + k[1 : n + 1]
     out[:, 3] = 2 * WORD_ROWS + CLASSES * CLASSES + k[2 : n + 2] * CLASSES + k[:n]
     return out
 
 
-def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of all classes at each position."""
+def class_scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The exponent of each class at each position, at most zero; not yet normalised."""
     z = weights[rows[:, 0]]
     for j in (1, 2, 3):
         z += weights[rows[:, j]]
     z += bias
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """The log probability of each position's class."""
+    z = class_scores(weights, bias, rows)
+    own = z[np.arange(len(z)), targets]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 class Trainer:
-    """Adagrad steps on one task's texts."""
+    """Adagrad steps on one task's texts, with one rate for each weight row."""
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray):
         self.weights, self.bias = weights.copy(), bias
-        self.square = np.full(weights.shape, 0.1, dtype=np.float32)
+        self.square = np.full(len(weights), 0.1, dtype=np.float32)
         self.met = np.zeros(len(weights), dtype=np.int64)
         self.rows: list[np.ndarray] = []
         self.targets: list[np.ndarray] = []
@@ -292,16 +298,19 @@ class Trainer:
             self.step(np.concatenate(self.rows), np.concatenate(self.targets))
 
     def step(self, rows: np.ndarray, targets: np.ndarray) -> None:
-        g = np.exp(class_logs(self.weights, self.bias, rows))
+        g = class_scores(self.weights, self.bias, rows)
+        np.exp(g, out=g)
+        g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(g)), targets] -= 1
         for j in range(4):
-            order = np.argsort(rows[:, j], kind="stable")
+            order = np.argsort(rows[:, j], kind="stable")  # 16-bit keys sort by radix
             own = rows[order, j]
             cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             at = own[cuts]
             total = np.add.reduceat(g[order], cuts, axis=0)
-            self.square[at] += total * total
-            self.weights[at] -= RATE * total / np.sqrt(self.square[at])
+            self.square[at] += np.einsum("ij,ij->i", total, total)
+            total *= (RATE / np.sqrt(self.square[at]))[:, None]
+            self.weights[at] -= total
             self.met[at] += np.diff(np.concatenate([cuts, [len(own)]]))
 
 
@@ -374,7 +383,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, fold: int
                 total = 0.0
                 for a in range(0, len(rows), BATCH):
                     own = target[a : a + BATCH]
-                    total += float(class_logs(w, b, rows[a : a + BATCH])[np.arange(len(own)), own].sum(dtype=np.float64)) / np.log(10)
+                    total += float(class_logs(w, b, rows[a : a + BATCH], own).sum(dtype=np.float64)) / np.log(10)
                 total += float((np.log10(mass(count[known])) - in_class[kind[known]]).sum())
                 all_ = np.concatenate([count, [ends]])
                 base = float(np.log10((all_ + 1) / (n + v + 1)).sum())
