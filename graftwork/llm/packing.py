@@ -19,7 +19,10 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,11 +43,25 @@ MAX_CHUNKS = 400_000
 BLOCK_CHARS = 4 << 20
 
 
-class ChunkTokenizer:
-    """Ids as little-endian unsigned 32-bit bytes, remembering those of each chunk.
+#: How a vocabulary has to cut texts for its chunks and words to be encoded apart.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+PLAIN_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The printable character that stands for each byte in byte-level vocabularies.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in VISIBLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
+
 
-    The vocabulary must drop white space, so that no token crosses a space:
-    then a text's ids are those of its chunks, one after another.
+class ChunkTokenizer:
+    """Ids as little-endian unsigned 32-bit bytes.
+
+    Where a vocabulary drops white space, no token crosses a space: a text's
+    ids are those of its chunks, one after another, and each chunk is encoded
+    once and remembered. Chunks of plain Latin letters, digits and marks are
+    cut into words here and go to the vocabulary's merges word by word; any
+    other chunk, and any text of another kind of vocabulary, is encoded by the
+    library as it stands.
     """
 
     def __init__(self, path: str):
@@ -52,10 +69,21 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        made = json.loads(self.tokenizer.to_str())
+        cuts = made["pre_tokenizer"] or {}
+        first = (cuts.get("pretokenizers") or [{}])[0]
+        self.in_chunks = made["normalizer"] == NORMALIZER and first.get("pattern") == {"Regex": WORD_PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+        self.marks = [t["content"] for t in made["added_tokens"]]
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; new chunks of some megabytes of texts are encoded in one call."""
+        """The ids of each text; new chunks of some megabytes of texts are looked at together."""
+        if not self.in_chunks:
+            for text in texts:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return
         block: list[list[str]] = []
         size = 0
         for text in texts:
@@ -73,12 +101,24 @@ class ChunkTokenizer:
             if len(known) + len(new) > MAX_CHUNKS:
                 known.clear()
                 new = set().union(*block)
-            order = list(new)
-            for c, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
+            if len(self.words) > MAX_CHUNKS:
+                self.words.clear()
+            other = []
+            for c in new:
+                if PLAIN.fullmatch(c) and not any(m in c for m in self.marks):
+                    known[c] = b"".join([self.words.get(w) or self._word(w) for w in PLAIN_WORDS.findall(c.lower())])
+                else:
+                    other.append(c)
+            for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
                 known[c] = np.array(e.ids, dtype="<u4").tobytes()
         for chunks in block:
             yield b"".join([known[c] for c in chunks])
 
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() else "".join([BYTE_CHARS[b] for b in word.encode()])
+        ids = self.words[word] = struct.pack(f"<{len(t := self.model.tokenize(shown))}I", *[x.id for x in t])
+        return ids
+
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Counter, int]], int]:
     """Patterns of lengths with how often each is used; and the number of sequences."""

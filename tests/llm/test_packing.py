@@ -47,6 +47,27 @@ def test_chunk_tokenizer_is_exact():
     assert list(own.encode(texts)) == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
+def test_words_go_to_the_merges_as_the_library_sends_them():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    tok, own = Tokenizer.from_file(vocabulary()), packing.ChunkTokenizer(vocabulary())
+    assert own.in_chunks
+    bits = [chr(c) for c in range(33, 127)] + [chr(c) for c in range(161, 256)] + ["'s", "'ll", "n't", "<|endoftext|>", "the", "Über", "İ", "Σ", "\u0301", "²", "\u00ad", "\x7f", "\x85", "ﬁ", "12"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) + " " + data.prose(rng, 3) for _ in range(4000)]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids == np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+
+
+def test_other_vocabularies_are_left_to_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, tok = packing.ChunkTokenizer(path), Tokenizer.from_file(path)
+    assert not own.in_chunks and list(own.encode([" a  b\n"])) == [np.array(tok.encode(" a  b\n", add_special_tokens=False).ids, dtype="<u4").tobytes()]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_once(seed):
     rng = random.Random(seed)
