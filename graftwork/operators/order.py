@@ -103,3 +103,14 @@ def stratified_sample(rows: DataFrame, stratum: str, preferred: list[str], ident
     rank = rank_of(stratum, {k: i for i, k in enumerate(preferred)})
     picked = scored.withColumn("_rank", F.when((nth == 1) & F.col(stratum).isin(preferred), rank).otherwise(len(preferred)))
     return picked.orderBy("_rank", "score", ordinal).limit(count).drop("_rank")
+
+
+def pinned(candidates: DataFrame, pins: DataFrame, fields: list[str]) -> DataFrame:
+    """(pin, matches, ok) of each pin: candidates that agree in every field that the pin sets; ok is exactly one."""
+    agree = F.lit(True)
+    for f in fields:
+        agree = agree & (F.col(f"p.{f}").isNull() | (F.col(f"p.{f}") == F.col(f"c.{f}")))
+    # pins are a hand-written list
+    joined = F.broadcast(pins).alias("p").join(candidates.alias("c"), agree, "left")
+    n = joined.groupBy("p.pin").agg(F.count("c.id").alias("matches"))
+    return n.withColumn("ok", F.col("matches") == 1)
