@@ -342,7 +342,7 @@ def train_round(spark: SparkSession, texts: DataFrame, vocabulary: Vocabulary, w
     made = texts.select("chunk", "text").mapInArrow(run, "row bigint, met bigint, change binary")
     means = made.repartition("row").sortWithinPartitions("row").mapInArrow(average, "row bigint, change binary")
     out = weights.copy()
-    for row, change in means.toLocalIterator():  # at most ROWS rows, the size of the model
+    for row, change in means.collect():  # at most ROWS rows, the size of the model
         out[row] += np.frombuffer(change, dtype=np.float32)
     shared.unpersist()
     return out
