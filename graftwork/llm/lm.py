@@ -4,8 +4,8 @@ A token's probability is factored: that of its class given the words before
 it, times that of the token in its class. Classes gather words by their
 endings, clustered on counts of neighbouring endings over the whole training
 corpus; the end of a text and the unknown word are classes of their own. The
-class softmax has hashed features of the history: the last word, the word
-before it (a skip), the last two classes, and two classes with one skipped.
+class softmax has hashed features of the history: the last word, the word before it
+(a skip), and the last three classes.
 Inside a class a word has its share of the training counts.
 
 Data go in chunks of some 32 MB of text. Each chunk's distinct words meet the
@@ -48,7 +48,8 @@ ENDINGS = 512
 CLASSES = 32
 END, UNKNOWN, FIRST = 0, 1, 2
 WORD_ROWS = 1 << 13
-ROWS = 2 * WORD_ROWS + 2 * CLASSES * CLASSES
+FEATURES = 3
+ROWS = 2 * WORD_ROWS + CLASSES**3
 BATCH = 8192
 ROUNDS = 2
 RATE = 0.15
@@ -77,6 +78,30 @@ def chunked(docs: DataFrame, key: str, text: str, folds: int, fold: int) -> Data
     return source.mapInArrow(run, f"chunk bigint, id {dict(source.dtypes)['id']}, held boolean, text string")
 
 
+def stretches(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts in order, some megabyte at a time; a longer text comes alone."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def by_chunk(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(chunk, first row, texts) of stretches of a batch's rows."""
+    chunks = batch.column("chunk").to_numpy()
+    texts = batch.column("text").cast(pa.binary()).to_pylist()
+    cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+    for a, b in zip(cuts, cuts[1:]):
+        for part in stretches(texts[a:b]):
+            yield int(chunks[a]), a, part
+            a += len(part)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(chunk, word, n): each distinct word of each chunk, with its training tokens there."""
 
@@ -110,24 +135,26 @@ def neighbour_counts(texts: DataFrame) -> np.ndarray:
     """How often each ending follows each, over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(ENDINGS * ENDINGS, dtype=np.int64), {}
+        total, known = np.zeros(ENDINGS * ENDINGS, dtype=np.int64), {b"": -1}
         for batch in batches:
-            for held, t in zip(batch.column("held").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                if held:
-                    continue
-                ws = [w[-3:] for w in words(t)]
-                for w in set(ws):
-                    if w not in known:
-                        known[w] = ending(w)
+            kept = batch.filter(pa.compute.invert(batch.column("held"))).column("text").cast(pa.binary()).to_pylist()
+            for texts_ in stretches(kept):
+                ends: list[bytes] = []
+                for t in texts_:
+                    ends += [w[-3:] for w in words(t)]
+                    ends.append(b"")
                 if len(known) > 300_000:
-                    known = {w: known[w] for w in set(ws)}
-                e = np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws))
-                if len(e) > 1:
-                    at, n = np.unique(e[:-1] * ENDINGS + e[1:], return_counts=True)
-                    total[at] += n
+                    known = {b"": -1}
+                for w in set(ends).difference(known):
+                    known[w] = ending(w)
+                e = np.fromiter(map(known.__getitem__, ends), dtype=np.int64, count=len(ends))
+                pair = (e[:-1] >= 0) & (e[1:] >= 0)
+                total += np.bincount(e[:-1][pair] * ENDINGS + e[1:][pair], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
+    import pyarrow.compute  # noqa: F401
+
     cells = texts.select("held", "text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     got = cells.toPandas()  # at most ENDINGS^2 cells
     out = np.zeros(ENDINGS * ENDINGS)
@@ -215,50 +242,55 @@ class Vocabulary:
             table = pa.ipc.open_stream(f).read_all()
         self.chunk = chunk
         known = table.column("word").to_pylist()
-        self.at = {w: i for i, w in enumerate(known)}
-        self.count = table.column("c").to_pylist()
-        self.kind = [int(self.classes[ending(w)]) for w in known]
-        self.hash = [xxhash.xxh3_64_intdigest(w) for w in known]
-        self._arrays()
-
-    def _arrays(self) -> None:
-        self.arrays = np.array(self.count, dtype=np.int64), np.array(self.kind, dtype=np.int64), np.array(self.hash, dtype=np.uint64)
-
-    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per word: count, class and hash."""
-        ws = words(text)
-        new = [w for w in set(ws) if w not in self.at]
+        # first the mark between texts, which counts as their end
+        self.at = {b"": 0} | {w: i for i, w in enumerate(known, 1)}
+        self.count = np.concatenate([[0], table.column("c").to_numpy()]).astype(np.int64)
+        self.kind = np.array([END, *(int(self.classes[ending(w)]) for w in known)], dtype=np.int64)
+        self.hash = np.array([0, *map(xxhash.xxh3_64_intdigest, known)], dtype=np.uint64)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word number of each position, places to predict, words in each text) of texts with three marks before each."""
+        ws: list[bytes] = []
+        sizes = []
+        for t in texts:
+            own = words(t)
+            ws += (b"", b"", b"")
+            ws += own
+            sizes.append(len(own))
+        ws.append(b"")
+        try:
+            i = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
+        except KeyError:
+            self._learn(set(ws).difference(self.at))
+            i = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
+        n = np.array(sizes)
+        first = np.cumsum(n + 3) - n
+        places = np.arange((n + 1).sum()) + np.repeat(first - (np.cumsum(n + 1) - (n + 1)), n + 1)
+        return i, places, n
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Words that the training texts don't hold."""
         for w in new:
-            self.at[w] = len(self.count)
-            self.count.append(0)
-            self.kind.append(int(self.classes[ending(w)]))
-            self.hash.append(xxhash.xxh3_64_intdigest(w))
-        if new:
-            n = len(self.count) - len(new)
-            self.arrays = tuple(np.concatenate([a, np.array(x[n:], dtype=a.dtype)]) for a, x in zip(self.arrays, (self.count, self.kind, self.hash)))
-        i = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
-        return tuple(a[i] for a in self.arrays)
-
-
-def features(kind: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    """Four weight rows for each position 0..n, from the words before it; END stands before the text."""
-    n = len(kind) + 1
-    h = np.concatenate([np.zeros(2, dtype=np.uint64), hashed])
-    k = np.concatenate([np.zeros(3, dtype=np.int64), kind])
-    last, skip = mix(h[1 : n + 1] + np.uint64(1)), mix(h[:n] + np.uint64(2))
-    out = np.empty((n, 4), dtype=np.uint16, order="F")
-    out[:, 0] = last % np.uint64(WORD_ROWS)
-    out[:, 1] = WORD_ROWS + skip % np.uint64(WORD_ROWS)
-    out[:, 2] = 2 * WORD_ROWS + k[2 : n + 2] * CLASSES + k[1 : n + 1]
-    out[:, 3] = 2 * WORD_ROWS + CLASSES * CLASSES + k[2 : n + 2] * CLASSES + k[:n]
+            self.at[w] = len(self.at)
+        self.count = np.concatenate([self.count, np.zeros(len(new), dtype=np.int64)])
+        self.kind = np.concatenate([self.kind, np.array([int(self.classes[ending(w)]) for w in new], dtype=np.int64)])
+        self.hash = np.concatenate([self.hash, np.array([xxhash.xxh3_64_intdigest(w) for w in new], dtype=np.uint64)])
+
+
+def features(kind: np.ndarray, hashed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The weight rows of each place, from the words before it."""
+    out = np.empty((len(at), FEATURES), dtype=np.uint16, order="F")
+    out[:, 0] = mix(hashed + np.uint64(1))[at - 1] % np.uint64(WORD_ROWS)
+    out[:, 1] = WORD_ROWS + mix(hashed + np.uint64(2))[at - 2] % np.uint64(WORD_ROWS)
+    out[:, 2] = 2 * WORD_ROWS + (kind[at - 1] * CLASSES + kind[at - 2]) * CLASSES + kind[at - 3]
     return out
 
 
 def class_scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The exponent of each class at each position, at most zero; not yet normalised."""
-    z = weights[rows[:, 0]]
-    for j in (1, 2, 3):
-        z += weights[rows[:, j]]
+    z = np.take(weights, rows[:, 0], axis=0)
+    for j in range(1, FEATURES):
+        z += np.take(weights, rows[:, j], axis=0)
     z += bias
     z -= z.max(axis=1, keepdims=True)
     return z
@@ -302,7 +334,7 @@ class Trainer:
         np.exp(g, out=g)
         g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(g)), targets] -= 1
-        for j in range(4):
+        for j in range(FEATURES):
             order = np.argsort(rows[:, j], kind="stable")  # 16-bit keys sort by radix
             own = rows[order, j]
             cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -322,10 +354,11 @@ def train_round(spark: SparkSession, texts: DataFrame, vocabulary: Vocabulary, w
         w, b, v = shared.value
         trainer = Trainer(w, b)
         for batch in batches:
-            for chunk, t in zip(batch.column("chunk").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            for chunk, _, part in by_chunk(batch):
                 v.open(chunk)
-                count, kind, hashed = v.encode(t)
-                trainer.add(features(kind, hashed), np.concatenate([np.where(count > 1, kind, UNKNOWN), [END]]))
+                i, at, _ = v.encode(part)
+                kind = v.kind[i]
+                trainer.add(features(kind, v.hash[i], at), np.where((v.count[i] > 1) | (i == 0), kind, UNKNOWN)[at])
         trainer.finish()
         at = np.flatnonzero(trainer.met)
         change = (trainer.weights[at] - w[at]).astype(np.float16)
@@ -357,13 +390,13 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, fold: int
     folder = scratch.at("dictionaries")
     stats = write_dictionaries(word_counts(texts), folder, classes)
     ends = training.count()
-    n, v = int(stats[0]) + ends, int(stats[1]) + (1 if ends else 0)
+    n_train, v_train = int(stats[0]) + ends, int(stats[1]) + (1 if ends else 0)
     masses = stats[2:]
     masses[END] = masses[UNKNOWN] = 1.0  # one token each
     vocabulary = Vocabulary(folder, classes)
     weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
     start = np.maximum(masses, 0.5)
-    start[END], start[UNKNOWN] = max(ends, 0.5), max(v / 2, 0.5)
+    start[END], start[UNKNOWN] = max(ends, 0.5), max(v_train / 2, 0.5)
     bias = np.log(start / start.sum()).astype(np.float32)
     for r in range(ROUNDS):
         own = training.filter(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(ROUNDS)) == r)
@@ -375,19 +408,18 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, fold: int
         in_class = np.log10(np.maximum(mass_, 1e-300))
         for batch in batches:
             out = []
-            for chunk, t in zip(batch.column("chunk").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            for chunk, _, part in by_chunk(batch):
                 vocab.open(chunk)
-                count, kind, hashed = vocab.encode(t)
-                rows, known = features(kind, hashed), count > 0
-                target = np.concatenate([np.where(known, kind, UNKNOWN), [END]])
-                total = 0.0
-                for a in range(0, len(rows), BATCH):
-                    own = target[a : a + BATCH]
-                    total += float(class_logs(w, b, rows[a : a + BATCH], own).sum(dtype=np.float64)) / np.log(10)
-                total += float((np.log10(mass(count[known])) - in_class[kind[known]]).sum())
-                all_ = np.concatenate([count, [ends]])
-                base = float(np.log10((all_ + 1) / (n + v + 1)).sum())
-                out.append((len(all_), int((all_ > 0).sum()), n, base, total))
+                i, at, n = vocab.encode(part)
+                kind, end = vocab.kind[i], i[at] == 0
+                rows, count = features(kind, vocab.hash[i], at), np.where(end, ends, vocab.count[i[at]])
+                known = (count > 0) & ~end
+                target = np.where(known | end, kind[at], UNKNOWN)
+                logs = np.concatenate([class_logs(w, b, rows[a : a + BATCH], target[a : a + BATCH]) for a in range(0, len(rows), BATCH)]).astype(np.float64) / np.log(10)
+                logs[known] += np.log10(mass(count[known])) - in_class[kind[at][known]]
+                first = np.cumsum(n + 1) - (n + 1)
+                sums = [np.add.reduceat(x, first) for x in ((count > 0).astype(np.int64), np.log10((count + 1) / (n_train + v_train + 1)), logs)]
+                out += zip((n + 1).tolist(), sums[0].tolist(), [n_train] * len(n), sums[1].tolist(), sums[2].tolist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), *(pa.array(list(c), k) for c, k in zip(zip(*out) if out else [()] * 5, [pa.int64()] * 3 + [pa.float64()] * 2))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = dict(texts.dtypes)["id"]

@@ -42,10 +42,10 @@ def test_model_beats_the_base_on_held_out_texts(spark):
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     w = rng.standard_normal((lm.ROWS, lm.CLASSES)).astype(np.float32)
-    rows = lm.features(np.array([3, 4, 5]), np.array([7, 8, 9], dtype=np.uint64))
+    rows = lm.features(np.array([0, 0, 0, 3, 4, 5, 0]), np.array([0, 0, 0, 7, 8, 9, 0], dtype=np.uint64), np.arange(3, 7))
     bias = np.zeros(lm.CLASSES, dtype=np.float32)
     total = sum(np.exp(lm.class_logs(w, bias, rows, np.full(4, c))) for c in range(lm.CLASSES))
-    assert rows.shape == (4, 4) and np.allclose(total, 1, atol=1e-4) and lm.ROWS < 1 << 16
+    assert rows.shape == (4, lm.FEATURES) and np.allclose(total, 1, atol=1e-4) and lm.ROWS < 1 << 16
 
 
 def test_chunks_split_without_changing_counts(spark, monkeypatch):
