@@ -222,7 +222,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     nodes = scratch.save(first.join(sizes, "node"), "nodes-1")
     known = scratch.save(reps.drop("first").join(nodes.select("rep").distinct(), "rep"), "known")
     names = docs.select(*(F.xxhash64(F.lit(s), F.col(key), F.col(text)).alias(x) for s, x in enumerate("ab")), F.col(text).alias("text"))
-    texts = scratch.save(names.join(known.select("a", "b", "rep"), ["a", "b"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
+    texts = scratch.save(names.join(known.select("a", "b", "rep"), ["a", "b"]).dropDuplicates(["a", "b"]).select("rep", "text"), "texts")
     known = known.select("rep", "n", "sig")
 
     def held(nodes: DataFrame) -> DataFrame:
