@@ -38,6 +38,8 @@ from graftwork.llm.components import components, joined
 from graftwork.llm.shingles import MinHash, WordHasher, common, mix, shingle_set
 
 PLACES = 128
+#: Places that a root branches by at once; with one, texts of common words meet by chance ever more as a corpus grows.
+AT_ROOT = 2
 SMALL = 64
 CHUNK = 1024
 BRANCH = 2
@@ -47,11 +49,11 @@ SIGMAS = 4.75
 
 
 def trees_for(threshold: float, miss: float = MISS) -> int:
-    """Trees that leave a pair at the threshold unfound with at most this chance."""
+    """Trees that leave a pair at the threshold unfound with at most this chance: it has to share the root's places, then live on."""
     alive = 1.0
     for _ in range(200):
         alive = 1 - (1 - threshold * alive) ** BRANCH
-    return math.ceil(math.log(miss) / math.log(1 - threshold * alive))
+    return math.ceil(math.log(miss) / math.log(1 - threshold**AT_ROOT * alive))
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -98,7 +100,7 @@ def signed(docs: DataFrame, key: str, text: str, shingle: int, trees: int) -> Da
                 sig.append(low.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (h, first, sig))], names=["id", "a", "b", "n", "h", "first", "sig"])
 
-    roots = np.arange(trees) * PLACES // trees
+    roots = np.arange(trees * AT_ROOT) * PLACES // (trees * AT_ROOT)
     kind = dict(source.dtypes)["id"]
     return source.mapInArrow(run, f"id {kind}, a bigint, b bigint, n bigint, h binary, first binary, sig binary")
 
@@ -108,9 +110,11 @@ def roots_of(reps: DataFrame, trees: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = np.frombuffer(b"".join(batch.column("first").to_pylist()), dtype="<u4").reshape(-1, trees).astype(np.uint64)
+            first = np.frombuffer(b"".join(batch.column("first").to_pylist()), dtype="<u4").reshape(-1, trees, AT_ROOT).astype(np.uint64)
             for t in range(trees):
-                node = mix(first[:, t] + np.uint64((t + 1) << 40))
+                node = np.full(len(first), t + 1, dtype=np.uint64)
+                for j in range(AT_ROOT):
+                    node = mix(node * np.uint64(0x9E3779B97F4A7C15) + first[:, t, j])
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("rep")], names=["node", "rep"])
 
     return reps.select("rep", "first").mapInArrow(run, "node bigint, rep bigint")
