@@ -5,8 +5,12 @@ blocks of consecutive vectors are compared, and is refined by
 neighbours-of-neighbours joins: the neighbours of each vector, forward and
 reverse, are compared with each other, and a pair enters the lists that it
 improves. A list that is saturated, its last entry still near the threshold,
-may grow up to `MAX_LIST`. An audit compares a bounded set of vectors with all
-rows and, below the target recall, sends the graph through more rounds.
+may grow up to `MAX_LIST`; what it has no room for is found by bridging: near
+pairs give groups, and the vectors of groups are searched again with lists that
+hold vectors of other groups only, until a search joins no groups any more.
+Half of its orders thin out long runs of one group, so that large groups meet.
+An audit compares a bounded set of vectors with all rows and, below the target
+recall, sends the graph through more rounds; if that doesn't help, it raises.
 
 Search runs on half-precision vectors. Pairs near the threshold give groups;
 inside a group every pair of rows is then compared in double precision, in
@@ -24,7 +28,6 @@ other columns, labels among them, are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graftwork.llm.common import Scratch
-from graftwork.llm.components import components
+from graftwork.llm.components import components, joined
 from graftwork.llm.neardup import groups
 
 LIST = 6
@@ -41,6 +44,8 @@ MAX_LIST = 24
 TABLES = 4
 BLOCK = 512
 CHUNK = 1024
+#: Rows of one group that a thinned order keeps in a buffer of two blocks.
+THIN = 64
 ROUNDS = 3
 #: Stop refining when a round changes less than this share of the lists' entries.
 SETTLED = 0.01
@@ -93,41 +98,56 @@ def ordered(reps: DataFrame, seed: int, dim: int) -> DataFrame:
         for batch in batches:
             p = halves(batch.column("half")) @ planes
             code = ((p[:, :30] > 0).astype(np.int64) << np.arange(30)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(p[:, 30].astype(np.float64)), *batch.columns], names=["code", "place", "rep", "half"])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(p[:, 30].astype(np.float64)), *batch.columns], names=["code", "place", "rep", "root", "half"])
 
-    coded = reps.select("rep", "half").mapInArrow(run, "code bigint, place double, rep bigint, half binary")
+    coded = reps.select("rep", "root", "half").mapInArrow(run, "code bigint, place double, rep bigint, root bigint, half binary")
     return coded.repartitionByRange("code", "place", "rep").sortWithinPartitions("code", "place", "rep")
 
 
-def best_of(rep: np.ndarray, sims: np.ndarray, k: int) -> pa.RecordBatch:
-    """Each row's k most similar others: (u, v, sim)."""
-    np.fill_diagonal(sims, -2)
+def best_of(rep: np.ndarray, root: np.ndarray, sims: np.ndarray, k: int) -> pa.RecordBatch:
+    """Each row's k most similar others outside its group: (u, v, sim)."""
+    sims[root[:, None] == root] = -2
     k = min(k, len(rep) - 1)
     top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     rows = np.repeat(np.arange(len(rep)), k)
     flat = top.ravel()
+    other = root[rows] != root[flat]
+    rows, flat = rows[other], flat[other]
     return pa.RecordBatch.from_arrays([pa.array(rep[rows]), pa.array(rep[flat]), pa.array(sims[rows, flat].astype(np.float64))], names=["u", "v", "sim"])
 
 
-def neighbours_in_blocks(rows: DataFrame) -> DataFrame:
+def thinned(table: pa.Table, rng: np.random.Generator) -> pa.Table:
+    """At most THIN rows of each group, drawn at random, in their order."""
+    root = table.column("root").to_numpy()
+    mixed = rng.permutation(len(root))
+    by_root = mixed[np.argsort(root[mixed], kind="stable")]
+    starts = np.flatnonzero(np.r_[True, np.diff(root[by_root]) != 0])
+    nth = np.arange(len(root)) - np.repeat(starts, np.diff(np.r_[starts, len(root)]))
+    return table.take(pa.array(np.sort(by_root[nth < THIN])))
+
+
+def neighbours_in_blocks(rows: DataFrame, thin: bool = False, seed: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
+        rng = np.random.default_rng([911, seed])
         for batch in batches:
-            held.append(batch.select(["rep", "half"]))
-            n += batch.num_rows
-            if n >= 2 * BLOCK:
-                table = pa.Table.from_batches(held)
-                whole = n // BLOCK - 1  # the last block waits, so that no rest is too short
-                for i in range(whole):
-                    yield compared(table.slice(i * BLOCK, BLOCK))
-                held, n = table.slice(whole * BLOCK).to_batches(), n - whole * BLOCK
+            for piece in (batch.slice(i, BLOCK) for i in range(0, batch.num_rows, BLOCK)):
+                held.append(piece.select(["rep", "root", "half"]))
+                n += piece.num_rows
+                if n >= 2 * BLOCK:
+                    table = pa.Table.from_batches(held)
+                    table = thinned(table, rng) if thin else table
+                    whole = max(table.num_rows // BLOCK - 1, 0)  # the last block waits, so that no rest is too short
+                    for i in range(whole):
+                        yield compared(table.slice(i * BLOCK, BLOCK))
+                    held, n = table.slice(whole * BLOCK).to_batches(), table.num_rows - whole * BLOCK
         if n > 1:
             yield compared(pa.Table.from_batches(held))
 
     def compared(table: pa.Table) -> pa.RecordBatch:
         x = halves(table.column("half"))
-        return best_of(table.column("rep").to_numpy(), x @ x.T, LIST)
+        return best_of(table.column("rep").to_numpy(), table.column("root").to_numpy(), x @ x.T, LIST)
 
     return rows.mapInArrow(run, "u bigint, v bigint, sim double")
 
@@ -141,25 +161,25 @@ def lists_of(edges: DataFrame, near: float) -> DataFrame:
 
 
 def refined(graph: DataFrame, reps: DataFrame) -> DataFrame:
-    """(u, v, sim) found among neighbours of neighbours, where it improves a list."""
+    """(u, v, sim) found among neighbours of neighbours of different groups, where it improves a list."""
     last = graph.groupBy("u").agg(F.min("sim").alias("least"))
     nth = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("sim"), "x"))
     forward = graph.select(F.col("u").alias("w"), F.col("v").alias("x"), "sim", "fresh")
     reverse = graph.select(F.col("v").alias("w"), F.col("u").alias("x"), "sim", "fresh")
     sides = [s.withColumn("nth", nth).filter(F.col("nth") <= LIST).drop("nth", "sim") for s in (forward, reverse)]
     joined = sides[0].unionByName(sides[1]).groupBy("w", "x").agg(F.max("fresh").alias("fresh"))
-    vectors = reps.select(F.col("rep").alias("x"), "half").join(last.withColumnRenamed("u", "x"), "x")
+    vectors = reps.select(F.col("rep").alias("x"), "root", "half").join(last.withColumnRenamed("u", "x"), "x")
     rows = joined.join(vectors, "x").repartition("w").sortWithinPartitions("w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, ss, held = [], [], [], 0
         for g in groups(batches, "w"):
-            x, fresh, least = (g.column(c).to_numpy() for c in ("x", "fresh", "least"))
+            x, root, fresh, least = (g.column(c).to_numpy() for c in ("x", "root", "fresh", "least"))
             if len(x) < 2 or not fresh.any():
                 continue
             h = halves(g.column("half"))
             i, j = np.triu_indices(len(x), 1)
-            use = (fresh[i] | fresh[j]).astype(bool)
+            use = (fresh[i] | fresh[j]).astype(bool) & (root[i] != root[j])
             i, j = i[use], j[use]
             s = (h @ h.T)[i, j].astype(np.float64)
             for a, b in ((i, j), (j, i)):
@@ -177,7 +197,48 @@ def refined(graph: DataFrame, reps: DataFrame) -> DataFrame:
     def made(us, vs, ss) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (us, vs, ss)], names=["u", "v", "sim"])
 
-    return rows.select("w", "x", "fresh", "least", "half").mapInArrow(run, "u bigint, v bigint, sim double")
+    return rows.select("w", "x", "root", "fresh", "least", "half").mapInArrow(run, "u bigint, v bigint, sim double")
+
+
+def outside(graph: DataFrame, held: DataFrame) -> DataFrame:
+    """The entries between different groups."""
+    of = lambda c: held.select(F.col("rep").alias(c), F.col("root").alias(f"{c}_root"))
+    return graph.join(of("u"), "u").join(of("v"), "v").filter("u_root <> v_root").select("u", "v", "sim")
+
+
+def descended(scratch: Scratch, held: DataFrame, graph: DataFrame, seed: int, dim: int, near: float, name: str, thin: bool = False) -> DataFrame:
+    """The lists of held (rep, root, half) after one descent that starts from the entries of graph and new orders."""
+    edges = graph.withColumn("fresh", F.lit(0))
+    for t in range(TABLES):
+        found = neighbours_in_blocks(ordered(held, seed * TABLES + t, dim), thin and t % 2 == 1, seed * TABLES + t)
+        edges = edges.unionByName(found.withColumn("fresh", F.lit(1)))
+    graph, old = scratch.save(lists_of(edges, near), name), name
+    for k in range(ROUNDS):
+        more = refined(graph, held).withColumn("fresh", F.lit(1))
+        graph = scratch.save(lists_of(graph.withColumn("fresh", F.lit(0)).unionByName(more), near), f"{name}-{k}")
+        scratch.drop(old)
+        old = f"{name}-{k}"
+        n = graph.agg(F.count("*"), F.sum("fresh")).first()
+        if not n[0] or n[1] < SETTLED * n[0]:
+            break
+    return graph
+
+
+def links_of(graph: DataFrame, near: float) -> DataFrame:
+    return graph.filter(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def bridged(scratch: Scratch, reps: DataFrame, roots: DataFrame, seed: int, dim: int, near: float, name: str) -> tuple[DataFrame, int]:
+    """(groups, the next seed) after joining groups until a search finds no near pair between two of them."""
+    none = scratch.spark.createDataFrame([], "u bigint, v bigint, sim double")
+    while True:
+        held = scratch.save(reps.select("rep", "half").join(roots.withColumnRenamed("id", "rep"), "rep"), f"{name}-held-{seed}")
+        links = links_of(descended(scratch, held, none, seed, dim, near, f"{name}-{seed}", thin=True), near)
+        scratch.drop(f"{name}-held-{seed}")
+        seed += 1
+        if links.isEmpty():
+            return roots, seed
+        roots = scratch.save(joined(scratch, roots, links, f"{name}-near-{seed}"), f"{name}-roots-{seed}")
 
 
 def audited(spark: SparkSession, reps: DataFrame, roots: DataFrame, threshold: float) -> float:
@@ -283,29 +344,20 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     reps = scratch.save(classes.join(rows.select(F.col("row").alias("rep"), "half"), "rep"), "reps")
 
     near = threshold - MARGIN
-    graph = scratch.save(spark.createDataFrame([], "u bigint, v bigint, sim double, fresh int"), "graph")
-    name = "graph"
+    graph = spark.createDataFrame([], "u bigint, v bigint, sim double")
+    roots = spark.createDataFrame([], "id bigint, root bigint")
+    seed = 0
     for attempt in range(ATTEMPTS):
-        edges = graph.withColumn("fresh", F.lit(0))
-        for t in range(TABLES):
-            edges = edges.unionByName(neighbours_in_blocks(ordered(reps, attempt * TABLES + t, dim)).withColumn("fresh", F.lit(1)))
-        old, name = name, f"graph-{attempt}"
-        graph = scratch.save(lists_of(edges, near), name)
-        scratch.drop(old)
-        for k in range(ROUNDS):
-            more = refined(graph, reps).withColumn("fresh", F.lit(1))
-            old, name = name, f"graph-{attempt}-{k}"
-            graph = scratch.save(lists_of(graph.withColumn("fresh", F.lit(0)).unionByName(more), near), name)
-            scratch.drop(old)
-            n = graph.agg(F.count("*"), F.sum("fresh")).first()
-            if not n[0] or n[1] < SETTLED * n[0]:
-                break
-        roots = components(scratch, graph.filter(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b")), f"near-{attempt}")
+        held = reps.select("rep", "half").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "half")
+        held = scratch.save(held, f"held-{attempt}")
+        graph = descended(scratch, held, outside(graph, held) if attempt else graph, seed, dim, near, f"graph-{attempt}")
+        roots = scratch.save(joined(scratch, roots, links_of(graph, near), f"near-{attempt}"), f"roots-{attempt}")
+        roots, seed = bridged(scratch, reps, roots, seed + 1, dim, near, f"bridge-{attempt}")
         recall = audited(spark, reps, roots, threshold)
         if recall >= RECALL:
             break
     else:
-        warnings.warn(f"after {ATTEMPTS} attempts the audited recall is {recall:.3f}", stacklevel=2)
+        raise RuntimeError(f"after {ATTEMPTS} attempts the audited recall is {recall:.3f}, under {RECALL}")
 
     members = reps.join(roots, F.col("rep") == F.col("id")).select("rep", "root", "mult", "v")
     n, forest = counted(scratch, members, threshold)

@@ -64,3 +64,27 @@ def test_empty_and_unusable_tables(spark):
     assert embeddup.near_vectors(spark, spark.createDataFrame([], ROWS)).count() == 0
     got = embeddup.near_vectors(spark, spark.createDataFrame([(1, None, 1, 1, 1), (2, [0.0], 1, 1, 1)], ROWS)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def tight_pairs(n, dim=16, seed=5):
+    """Three pairs of clusters of n distinct near copies: cosine about 0.999 inside one, 0.965 across a pair."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(3):
+        a, b = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+        for centre in (a, 0.965 * a + math.sqrt(1 - 0.965**2) * b):
+            rows += [(centre + 0.006 * rng.standard_normal(dim)).tolist() for _ in range(n)]
+    rows += [v.tolist() for v in rng.standard_normal((200, dim))]
+    return [(i, x, 1, 2, 3) for i, x in enumerate(rows)]
+
+
+def test_tight_clusters_that_fill_every_list_are_linked(spark):
+    rows = tight_pairs(40)
+    assert have(embeddup.near_vectors(spark, spark.createDataFrame(rows, ROWS), 0.95)) == brute(rows, 0.95)
+
+
+def test_tight_clusters_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(embeddup, "BLOCK", 32)
+    monkeypatch.setattr(embeddup, "THIN", 8)
+    rows = tight_pairs(150)
+    assert have(embeddup.near_vectors(spark, spark.createDataFrame(rows, ROWS), 0.95)) == brute(rows, 0.95)
