@@ -96,7 +96,8 @@ def output_slug(ordinal: Column, text: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_-]", "_"), "_+", "_")
     clean = F.regexp_replace(clean, "^_+|_+$", "")
     clean = F.substring(F.when(clean == "", "root").otherwise(clean), 1, 96)
-    return F.concat(F.lpad(ordinal.cast("string"), 4, "0"), F.lit("-"), clean)
+    number = ordinal.cast("string")
+    return F.concat(F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0")), F.lit("-"), clean)  # lpad cuts what is longer
 
 
 def occurrences(text: Column, name: str) -> Column:

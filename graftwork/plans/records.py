@@ -102,7 +102,7 @@ WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^
 SELECT doc_id, lpad((doc_id + 1)::VARCHAR, greatest(4, length((doc_id + 1)::VARCHAR))::INTEGER, '0') || '-' || substr(CASE c WHEN '' THEN 'root' ELSE c END, 1, 96) AS slug FROM s WHERE doc_id < 9999
 """)
 def output_slugs(t: Tables):
-    return t.documents.filter("doc_id < 9999").select("doc_id", ident.output_slug(F.col("doc_id") + 1, F.col("text")).alias("slug"))
+    return t.documents.select("doc_id", ident.output_slug(F.col("doc_id") + 1, F.col("text")).alias("slug"))
 
 
 @query("""

@@ -239,6 +239,11 @@ def test_identifiers(spark):
     assert tuple(r) == ("p::m::f", "p::m::T::f", "plain", ["m", "super", "X"], [], ["x", "y", "b"], "0007-a_b", "0001-root", None, ["a"], "Foo", "Bar", True, False, 2)
 
 
+def test_slugs_of_long_ordinals(spark):
+    slugs = [r.s for r in spark.createDataFrame([(9999,), (10_000,), (10_001,), (123_456,)], "n bigint").orderBy("n").select(ident.output_slug(F.col("n"), F.lit("a b")).alias("s")).collect()]
+    assert slugs == ["9999-a_b", "10000-a_b", "10001-a_b", "123456-a_b"]
+
+
 DIAG = "run string, ord int, level string, message string, code string, package_id string, target struct<name:string,kind:array<string>,src_path:string>, rendered string, spans array<struct<file_name:string,line_start:bigint,column_start:bigint,column_end:bigint,is_primary:boolean>>, suggestions array<struct<suggested_replacement:string>>"
 
 
@@ -346,6 +351,15 @@ def test_corpus_labels(spark, change, label, passed):
     assert (r.label, r.passed) == (label, passed)
 
 
+def test_corpus_labels_of_errors_with_semantic_warnings(spark):
+    rows = spark.createDataFrame([(1, True), (2, False)], "n int, all_known boolean").withColumns({
+        "timed_out": F.lit(False), "exit_code": F.lit(0), "preflight_ok": F.lit(True), "feedback_ok": F.lit(True), "errors": F.lit(1), "warnings": F.lit(0), "semantic_warnings": F.lit(1), "preflight_only": F.lit(False),
+        "deny_warnings": F.lit(False), "stop_on_warning": F.lit(False), "baseline_ok": F.lit(True), "validation_status": F.lit(None).cast("string"), "matrix_gate": F.lit(None).cast("string"),
+    })
+    got = rows.withColumn("label", verdict.corpus_label()).withColumn("passed", verdict.corpus_passed(F.col("label"))).orderBy("n").collect()
+    assert [(r.label, r.passed) for r in got] == [("slice_semantic_warning_failed", False), ("slice_feedback_failed", False)]
+
+
 def test_loops(spark):
     bad, worse, good = diags(spark, {"code": "E1"}), diags(spark, {"code": "E2"}), diags(spark).limit(0)
     seen = []
