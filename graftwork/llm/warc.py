@@ -16,8 +16,10 @@ a payload is never taken for a record.
 Defined results: a null html is an empty payload. Rows with equal payloads
 and the same largest key are all responses; a null key revisits the largest
 one if there is any, else it is a response. A record that runs past the end
-of its file is not returned, nor is any after it. Other columns are ignored;
-an empty table writes no file.
+of its file is not returned, nor is any after it; reading back what was
+written raises unless each file has as many records as the manifest says. A
+head may have any length. Other columns are ignored; an empty table writes no
+file.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 from graftwork.llm.common import Scratch
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-#: Bytes that a record's head may have.
-MAX_HEAD = 1 << 16
+#: Bytes read for a record's head at first; as long as the head goes on, the window is doubled.
+HEAD = 1 << 16
 FILE_BYTES = 64 << 20
 BLOCK_BYTES = 8 << 20
 #: A table of repeated payloads up to this many rows is broadcast, a larger one joined by shuffle.
@@ -65,9 +67,11 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
 
 
 def parse_head(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | None:
-    """(fields, where the body starts, its length) of a record's head at this place."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEAD)
-    if end < 0 or not MAGIC.match(data, at):
+    """(fields, where the body starts, its length) of a record's head at this place, which data holds whole."""
+    if not MAGIC.match(data, at):
+        return None
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0:
         return None
     fields = {}
     for line in data[at:end].split(b"\r\n")[1:]:
@@ -126,39 +130,81 @@ def opened(folder: str, file: str):
     return fs.open_input_file(f"{root}/{file}")
 
 
-def candidates(data: bytes, start: int, stop: int, base: int, size: int) -> list[tuple[int, int]]:
-    """(place, place of the successor) of every head that starts in [start, stop) of data, from the last to the first; base is data's place in the file."""
+def head_at(f, at: int, size: int) -> tuple[dict[bytes, bytes], int, int] | None:
+    """parse_head of a file's record, however long its head is."""
+    window = HEAD
+    while True:
+        f.seek(at)
+        data = f.read(min(window, size - at))
+        if b"\r\n\r\n" in data or len(data) < window or not MAGIC.match(data):
+            return parse_head(data, 0)
+        window *= 2
+
+
+def candidates(f, block: int, stop: int, size: int) -> list[tuple[int, int]]:
+    """(place, place of the successor) of every head that starts in [block, stop) of the file, from the last to the first."""
+    window = HEAD
+    while True:
+        f.seek(block)
+        data = f.read(min(stop + window, size) - block)
+        if (found := heads_in(data, stop - block, stop + window >= size)) is not None:
+            return [(block + at, after) for at, to in found if (after := block + to + 4) <= size]
+        window *= 2
+
+
+def heads_in(data: bytes, stop: int, ended: bool) -> list[tuple[int, int]] | None:
+    """(place, where the body ends) of the heads that start before stop, from the last to the first; None if one goes on
+    beyond data, which isn't at the file's end. Lines that a later head has too are read once."""
+    known: dict[int, tuple[bytes | None, bool, int] | None] = {}
     out = []
-    for m in MAGIC.finditer(data, start):
-        if m.start() >= stop:
-            break
-        if (head := parse_head(data, m.start())) is not None:
-            after = base + head[1] + head[2] + 4
-            if after <= size:
-                out.append((base + m.start(), after))
-    return out[::-1]
+    for m in reversed([m for m in MAGIC.finditer(data, 0, stop + 10) if m.start() < stop]):
+        at, length, typed, told = m.end(), None, False, None
+        while at not in known:
+            end = data.find(b"\r\n", at)
+            if end < 0:
+                if not ended:
+                    return None
+                break
+            if end == at:
+                told = (length, typed, at + 2)
+                break
+            name, colon, value = data[at:end].partition(b":")
+            if not colon:
+                break
+            name = name.strip().lower()
+            if name == b"content-length":
+                length = value.strip()
+            typed, at = typed or name == b"warc-type", end + 2
+        else:
+            if (rest := known[at]) is not None:
+                told = (length if rest[0] is None else rest[0], rest[1] or typed, rest[2])
+        known[m.end()] = told
+        if told is not None and told[1] and (told[0] or b"").isdigit():
+            out.append((m.start(), told[2] + int(told[0])))
+    return out
 
 
 def link_blocks(manifest: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(folder, file, at, to, stop): each candidate, and the first place outside its block that its chain reaches."""
+    """(folder, file, at, to, stop, n): each candidate, the first place outside its block that its chain reaches, and the chain's records in the block."""
     blocks = manifest.select("folder", "file", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(block_bytes))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for folder, file, size, block in zip(*(c.to_pylist() for c in batch.columns)):
-                with opened(folder, file) as f:
-                    f.seek(block)
-                    data = f.read(min(block_bytes + MAX_HEAD, size - block))
                 stop = min(block + block_bytes, size)
+                with opened(folder, file) as f:
+                    found = candidates(f, block, stop, size)
                 links: dict[int, int] = {}
-                for at, after in candidates(data, 0, stop - block, block, size):
+                counts: dict[int, int] = {}
+                for at, after in found:
                     # a successor in the block that is no candidate ends the chain there
                     links[at] = links.get(after, after) if after < stop else after
+                    counts[at] = 1 + counts.get(after, 0)
                 if links:
                     n = len(links)
-                    yield pa.RecordBatch.from_arrays([pa.array([folder] * n), pa.array([file] * n), pa.array(list(links)), pa.array(list(links.values())), pa.array([stop] * n)], names=["folder", "file", "at", "to", "stop"])
+                    yield pa.RecordBatch.from_arrays([pa.array([folder] * n), pa.array([file] * n), pa.array(list(links)), pa.array(list(links.values())), pa.array([stop] * n), pa.array(list(counts.values()))], names=["folder", "file", "at", "to", "stop", "n"])
 
-    return blocks.repartition(F.col("file"), F.col("block")).mapInArrow(run, "folder string, file string, at bigint, to bigint, stop bigint")
+    return blocks.repartition(F.col("file"), F.col("block")).mapInArrow(run, "folder string, file string, at bigint, to bigint, stop bigint, n bigint")
 
 
 def reachable(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -179,6 +225,14 @@ def reachable(scratch: Scratch, links: DataFrame) -> DataFrame:
         jump = scratch.save(jump.join(nxt, ["file", "to"]).select("file", "at", F.col("to_").alias("to")), f"jump-{k}")
 
 
+def verify_counts(manifest: DataFrame, links: DataFrame, reached: DataFrame) -> None:
+    """Raise if the true entries' chains hold other numbers of records than were written."""
+    told = reached.select("file", "at").join(links.select("file", "at", "n"), ["file", "at"]).groupBy("file").agg(F.sum("n").alias("found"))
+    bad = manifest.join(told, "file", "left").filter(~F.col("records").eqNullSafe(F.col("found"))).select("file", "records", "found").first()
+    if bad is not None:
+        raise ValueError(f"archive {bad.file}: {bad.records} records were written, {bad.found} found")
+
+
 def read_records(entries: DataFrame) -> DataFrame:
     """Walk the records from each entry to its block's end."""
     schema = "key bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint"
@@ -190,8 +244,7 @@ def read_records(entries: DataFrame) -> DataFrame:
                 with opened(folder, file) as f:
                     size = f.size()
                     while at < stop:
-                        f.seek(at)
-                        head = parse_head(f.read(min(MAX_HEAD, size - at)), 0)
+                        head = head_at(f, at, size)
                         if head is None or at + head[1] + head[2] + 4 > size:
                             break
                         fields, start, length = head
@@ -235,4 +288,6 @@ def round_trip(spark: SparkSession, pages: DataFrame, key: str = "page_id", url:
     scratch = Scratch(spark, "warc")
     manifest = write_archives(spark, pages, scratch, key, url, html, min_revisit, file_bytes)
     links = scratch.save(link_blocks(manifest, block_bytes), "links")
-    return read_records(reachable(scratch, links)).withColumnRenamed("key", key)
+    reached = reachable(scratch, links)
+    verify_counts(manifest, links, reached)
+    return read_records(reached).withColumnRenamed("key", key)

@@ -1,6 +1,9 @@
 import hashlib
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from graftwork.llm import warc
 from graftwork.llm.common import Scratch
 
@@ -64,3 +67,23 @@ def test_truncated_file_loses_only_its_end(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_urls_longer_than_a_window(spark):
+    rows = [(i, "http://h/" + "u" * n, f"page {i}", 1, "f") for i, n in enumerate([5, 70_000, 5, 400_000, 65_536, 5])]
+    rows.append((6, "http://h/" + "WARC/1.1" * 20_000, "WARC/1.1\r\na: WARC/1.1\r\n" * 30_000, 1, "f"))
+    rows.append((7, "http://h/", "last", 1, "f"))
+    df = spark.createDataFrame(rows, PAGES).coalesce(1)
+    for block in (30_000, 1 << 23):
+        got = warc.round_trip(spark, df, block_bytes=block).collect()
+        assert sorted((r.page_id, r.url, r.payload.decode()) for r in got) == [r[:3] for r in rows], block
+
+
+def test_missing_records_are_an_error(spark):
+    scratch = Scratch(spark, "t")
+    manifest = warc.write_archives(spark, spark.createDataFrame(pages(), PAGES).coalesce(1), scratch)
+    links = scratch.save(warc.link_blocks(manifest, 700), "links")
+    reached = warc.reachable(scratch, links)
+    warc.verify_counts(manifest, links, reached)
+    with pytest.raises(ValueError, match="records were written"):
+        warc.verify_counts(manifest.withColumn("records", F.col("records") + 1), links, reached)
