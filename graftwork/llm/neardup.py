@@ -39,9 +39,11 @@ from graftwork.llm.shingles import MinHash, WordHasher, common, mix, shingle_set
 
 PLACES = 128
 #: Places that a root branches by at once; with one, texts of common words meet by chance ever more as a corpus grows.
-AT_ROOT = 2
+AT_ROOT = 3
 SMALL = 64
 CHUNK = 1024
+#: The names of up to this many candidates are broadcast to fetch their texts, more are joined by shuffle.
+MAX_BROADCAST = 500_000
 BRANCH = 2
 DEPTH = 6
 MISS = 1e-6
@@ -225,9 +227,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     sizes = first.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     nodes = scratch.save(first.join(sizes, "node"), "nodes-1")
     known = scratch.save(reps.drop("first").join(nodes.select("rep").distinct(), "rep"), "known")
-    names = docs.select(*(F.xxhash64(F.lit(s), F.col(key), F.col(text)).alias(x) for s, x in enumerate("ab")), F.col(text).alias("text"))
-    texts = scratch.save(names.join(known.select("a", "b", "rep"), ["a", "b"]).dropDuplicates(["a", "b"]).select("rep", "text"), "texts")
-    known = known.select("rep", "n", "sig")
+    named = docs.select(*(F.xxhash64(F.lit(s), F.col(key), F.col(text)).alias(x) for s, x in enumerate("ab")), F.col(text).alias("text"))
+
+    def texts_of(pairs: DataFrame, name: str) -> DataFrame:
+        """(rep, text) of the classes in the pairs, and of no others."""
+        wanted = pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
+        wanted = scratch.save(known.select("rep", "a", "b").join(wanted, "rep", "left_semi"), f"{name}-wanted")
+        small = wanted.count() <= MAX_BROADCAST
+        texts = named.join(F.broadcast(wanted) if small else wanted, ["a", "b"])
+        return scratch.save(texts.dropDuplicates(["a", "b"]).select("rep", "text"), name)
+
+    sketches = known.select("rep", "n", "sig")
 
     def held(nodes: DataFrame) -> DataFrame:
         """Nodes' rows with their component, without nodes of one component; signatures join only what is left."""
@@ -239,8 +249,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
     chunk = F.pmod(F.xxhash64("rep", "node"), chunks)
     side = F.lit(0).alias("side")
     stars = nodes.select(F.xxhash64("node", chunk).alias("part"), side, "rep", F.col("rep").alias("comp"))
-    pairs = scratch.save(candidates(stars.join(known, "rep"), need, num, den, stars=True).distinct(), "star-pairs")
-    roots = components(scratch, scratch.save(confirm(pairs, texts, shingle, num, den), "star-links"), "star-roots")
+    pairs = scratch.save(candidates(stars.join(sketches, "rep"), need, num, den, stars=True).distinct(), "star-pairs")
+    roots = components(scratch, scratch.save(confirm(pairs, texts_of(pairs, "star-texts"), shingle, num, den), "star-links"), "star-roots")
 
     small: DataFrame | None = None
     for level in range(1, DEPTH + 1):
@@ -260,11 +270,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num:
             )
             small = small.unionByName(blocks)
             break
-        down = children_of(large.select("node", "rep").join(known.select("rep", "sig"), "rep"))
+        down = children_of(large.select("node", "rep").join(sketches.select("rep", "sig"), "rep"))
         sizes = down.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         nodes = scratch.save(down.join(sizes, "node"), f"nodes-{level + 1}")
-    rest = scratch.save(candidates(small.join(known, "rep"), need, num, den, stars=False).distinct().join(pairs, ["x", "y"], "left_anti"), "rest-pairs")
-    roots = joined(scratch, roots, scratch.save(confirm(rest, texts, shingle, num, den), "rest-links"), "rest-roots")
+    rest = scratch.save(candidates(small.join(sketches, "rep"), need, num, den, stars=False).distinct().join(pairs, ["x", "y"], "left_anti"), "rest-pairs")
+    roots = joined(scratch, roots, scratch.save(confirm(rest, texts_of(rest, "rest-texts"), shingle, num, den), "rest-links"), "rest-roots")
 
     root = roots.withColumnRenamed("id", "rep")
     member = rows.filter("n > 0").select("row", "h").join(classes, "h").join(root, "rep", "left").select("row", F.coalesce("root", "rep").alias("comp"))

@@ -104,4 +104,4 @@ def test_components(spark):
 
 
 def test_trees_follow_the_recall():
-    assert neardup.trees_for(0.85) == 12 and neardup.trees_for(0.8) == 16
+    assert neardup.trees_for(0.85) == 16 and neardup.trees_for(0.8) == 22
