@@ -1,46 +1,44 @@
 """64-bit FNV-1a as a native expression (OP-60, OP-60b, OP-61).
 
-BIGINT arithmetic overflows under ANSI mode, so the state is a DECIMAL(38,0):
-its products stay below 2^64 * 2^41.
+BIGINT products overflow under ANSI mode, so the state is two halves of 32
+bits. As the prime is 2^40 + 435, a step is two products below 2^41 and a
+shift.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OFFSET = 0xCBF29CE484222325
-PRIME = 1099511628211
+PRIME_LOW = 435
 MODULUS = 1 << 64
+HALF = 0xFFFFFFFF
 
 
-def _number(value: int) -> Column:
-    return F.lit(str(value)).cast("decimal(38,0)")
+def _halves(text: Column, state: int) -> Column:
+    """STRUCT<hi, lo> of the hash of a text's UTF-8 bytes."""
+    # a byte string read as Latin-1 has a character for each byte
+    octets = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+    octets = F.when(F.length(text) > 0, octets).otherwise(F.array().cast("array<string>"))
+    pair = lambda hi, lo: F.struct(hi.cast("bigint").alias("hi"), lo.cast("bigint").alias("lo"))
 
+    def step(h: Column, c: Column) -> Column:
+        low = h["lo"].bitwiseXOR(F.ascii(c).cast("bigint"))
+        product = low * PRIME_LOW
+        high = h["hi"] * PRIME_LOW + F.shiftright(product, 32) + F.shiftleft(low, 8)
+        return pair(high.bitwiseAND(F.lit(HALF)), product.bitwiseAND(F.lit(HALF)))
 
-def fnv1a64(text: Column, state: int = OFFSET) -> Column:
-    """Unsigned hash of the UTF-8 bytes as DECIMAL(20,0); null for null."""
-    pairs = F.hex(F.encode(text, "UTF-8"))
-    at = F.sequence(F.lit(1), F.length(pairs) - 1, F.lit(2))
-    octets = F.when(F.length(pairs) > 0, F.transform(at, lambda i: F.conv(F.substr(pairs, i, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-    def step(h: Column, b: Column) -> Column:
-        low = (h % 256).cast("int")
-        mixed = h - low.cast("decimal(38,0)") + low.bitwiseXOR(b).cast("decimal(38,0)")
-        return ((mixed * _number(PRIME).cast("decimal(13,0)")).cast("decimal(38,0)") % _number(MODULUS)).cast("decimal(38,0)")
+    return F.aggregate(octets, pair(F.lit(state >> 32), F.lit(state & HALF)), step)
 
-    return F.when(text.isNotNull(), F.aggregate(octets, _number(state), step)).cast("decimal(20,0)")
 
-
-def hex16(number: Column) -> Column:
-    """16 lower-case hexadecimal digits of an unsigned 64-bit DECIMAL."""
-    high = F.floor(number / F.lit(1 << 32).cast("decimal(20,0)")).cast("bigint")
-    high = F.when(high * F.lit(1 << 32).cast("decimal(20,0)") > number, high - 1).otherwise(high)
-    low = (number - high * F.lit(1 << 32).cast("decimal(20,0)")).cast("bigint")
-    return F.lower(F.concat(F.lpad(F.hex(high), 8, "0"), F.lpad(F.hex(low), 8, "0")))
+def fnv1a64(text: Column, state: int = OFFSET) -> Column:
+    """Unsigned hash of the UTF-8 bytes as DECIMAL(20,0); null for null."""
+    number = F.aggregate(F.array(_halves(text, state)), F.lit(0).cast("decimal(20,0)"), lambda _, h: (h["hi"].cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + h["lo"]).cast("decimal(20,0)"))
+    return F.when(text.isNotNull(), number)
 
 
 def fingerprint(text: Column) -> Column:
-    """Printed FNV fingerprint of a text."""
-    return hex16(fnv1a64(text))
+    """Printed FNV fingerprint of a text: 16 lower-case hexadecimal digits."""
+    return F.when(text.isNotNull(), F.aggregate(F.array(_halves(text, OFFSET)), F.lit(""), lambda _, h: F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0")))))
 
 
 def cache_key(parts: list[Column]) -> Column:

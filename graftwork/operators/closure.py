@@ -2,8 +2,10 @@
 
 Call graphs have cycles, on which Spark's recursive CTE doesn't end; these are
 semi-naive loops. Each round joins only the new frontier with the edges and
-anti-joins what was seen; tables between rounds are written to the shared
-folder, and a round's frontier is all that the next one shuffles.
+anti-joins what was seen. Every round's table is written to the shared folder;
+edges and seen nodes are also kept on the executors, partitioned and sorted by
+their key, so that a round shuffles what it has newly found and nothing else.
+An executor that is lost reads its share from the folder again.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from graftwork.operators.staging import Rounds
 
 MAX_ROUNDS = 10_000
+#: Layers of seen nodes that a round meets before they are merged into one.
+FANOUT = 8
 
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, src: str = "src", dst: str = "dst", node: str = "node", by: tuple[str, ...] = ()) -> DataFrame:
@@ -23,26 +27,44 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, src:
     nodes and edges to or from null are ignored; duplicate edges and roots
     change nothing.
     """
-    stage = Rounds(edges.sparkSession, "reach")
+    spark = edges.sparkSession
+    stage = Rounds(spark, "reach")
     keys = [*by, node]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held: list[DataFrame] = []
+
+    def placed(df: DataFrame, *columns: str) -> DataFrame:
+        """Kept on the executors by its key, so that later rounds' joins find it in place; its file stands behind it."""
+        held.append(df.repartition(parts, *columns).sortWithinPartitions(*columns).persist())
+        return held[-1]
+
     steps = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("_from"), F.col(dst).alias("_to")).distinct()
-    steps = stage.save(steps)
-    frontier = stage.save(roots.filter(F.col(node).isNotNull()).select(*keys).distinct())
-    layers = [frontier.withColumn("depth", F.lit(0))]
-    seen = frontier
+    steps = placed(stage.save(steps), "_from")
+    first = stage.save(roots.filter(F.col(node).isNotNull()).select(*keys).distinct())
+    layers, frontier = [first.withColumn("depth", F.lit(0))], placed(first, *keys)
+    seen, merged = [frontier], first
     for depth in range(1, MAX_ROUNDS):
         if max_depth is not None and depth > max_depth:
             break
         new = frontier.join(steps, frontier[node] == steps["_from"]).select(*by, F.col("_to").alias(node)).distinct()
-        frontier = stage.save(new.join(seen, keys, "left_anti"))
-        if frontier.isEmpty():
+        for layer in seen:
+            new = new.join(layer, keys, "left_anti")
+        found = stage.save(new)
+        if found.isEmpty():
             break
-        layers.append(frontier.withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(frontier)
-        if depth % 20 == 0:
-            seen = stage.save(seen)
+        layers.append(found.withColumn("depth", F.lit(depth)))
+        merged, frontier = merged.unionByName(found), placed(found, *keys)
+        seen.append(frontier)
+        if len(seen) > FANOUT:
+            # one placed table instead of many: each round then meets a handful of sorted tables
+            merged = stage.save(merged)
+            old, seen = seen[:-1], [placed(merged, *keys)]
+            for layer in old:
+                layer.unpersist()
     else:
         raise RuntimeError(f"the closure did not end in {MAX_ROUNDS} rounds")
+    for df in held:
+        df.unpersist()
     out = layers[0]
     for layer in layers[1:]:
         out = out.unionByName(layer)
@@ -96,23 +118,30 @@ def union_edges(*tables: DataFrame) -> DataFrame:
 
 
 def resolve_chain(starts: DataFrame, aliases: DataFrame, types: DataFrame) -> DataFrame:
-    """(start, target): follow aliases (path -> target) until a type-like path; a cycle or dead end gives null."""
+    """(start, target): follow aliases (path -> target) until a type-like path; a cycle or dead end gives null.
+
+    Pointer jumping: after k rounds every path knows what lies 2^k aliases on,
+    or its type. Paths that are open after a round in which none has ended run
+    in cycles. Of several targets of a path the least counts.
+    """
     stage = Rounds(starts.sparkSession, "chain")
-    known = types.select(F.col("path").alias("at")).distinct().withColumn("_type", F.lit(True))
-    steps = stage.save(aliases.select(F.col("path").alias("at"), "target").dropDuplicates(["at"]))
-    open_ = starts.select("start", F.col("start").alias("at"), F.array("start").alias("visited"))
-    done = []
-    for _ in range(MAX_ROUNDS):
-        looked = stage.save(open_.join(known, "at", "left"))
-        done.append(looked.filter("_type").select("start", F.col("at").alias("target")))
-        moved = looked.filter("_type is null").join(steps, "at").filter(~F.array_contains("visited", F.col("target")))
-        open_ = stage.save(moved.select("start", F.col("target").alias("at"), F.concat("visited", F.array("target")).alias("visited")))
-        if open_.isEmpty():
+    ends = types.select(F.col("path").alias("to")).distinct().withColumn("_type", F.lit(True))
+    first = aliases.filter("path is not null").groupBy(F.col("path").alias("at")).agg(F.min("target").alias("to"))
+    first = first.join(ends.withColumnRenamed("to", "at"), "at", "left_anti").filter("to is not null")
+    jump = stage.save(first.join(ends, "to", "left").select("at", "to", F.coalesce("_type", F.lit(False)).alias("done")))
+    open_ = jump.filter("not done").count()
+    while open_:
+        onward = jump.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("done").alias("_done"))
+        moved = jump.filter("not done").join(onward, "to").select("at", F.col("_to").alias("to"), F.col("_done").alias("done"))
+        jump = stage.save(jump.filter("done").unionByName(moved))
+        stage.drop(stage.n - 1)
+        left = jump.filter("not done").count()
+        if left == open_:
             break
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
-    return starts.select("start").join(found, "start", "left")
+        open_ = left
+    found = jump.filter("done").select(F.col("at").alias("start"), F.col("to").alias("target"))
+    own = ends.select(F.col("to").alias("start"), F.col("to").alias("target"))
+    return starts.select("start").join(own.unionByName(found), "start", "left")
 
 
 def blocked_by_unknown(candidates: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:

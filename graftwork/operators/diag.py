@@ -6,25 +6,26 @@ target<name, kind[], src_path>, rendered, spans[], suggestions[]).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.functions.hashing import fingerprint, short_digest
-from graftwork.functions.ident import all_ticked, sorted_distinct
+from graftwork.functions.ident import all_ticked, diagnostic_symbol, sorted_distinct
 
 SPAN = """struct<file_name:string,line_start:bigint,line_end:bigint,column_start:bigint,column_end:bigint,is_primary:boolean,
 text:array<struct<text:string>>,byte_start:bigint,byte_end:bigint,suggested_replacement:string,suggestion_applicability:string>"""
-#: How deep notes below notes may nest.
-DEPTH = 4
+#: A message's notes stay text: they may nest to any depth.
+MESSAGE = f"struct<level:string,message:string,code:struct<code:string>,rendered:string,spans:array<{SPAN}>,children:string>"
+SUGGESTION = "struct<level:string,message:string,file_name:string,byte_start:bigint,byte_end:bigint,suggested_replacement:string,applicability:string>"
 
 
-def message_schema(depth: int = DEPTH) -> str:
-    own = f"level:string,message:string,code:struct<code:string>,rendered:string,spans:array<{SPAN}>"
-    return f"struct<{own},children:array<{message_schema(depth - 1)}>>" if depth else f"struct<{own}>"
+def record_schema() -> str:
+    return f"reason string, package_id string, target struct<name:string,kind:array<string>,src_path:string>, message {MESSAGE}"
 
 
-def record_schema() -> str:
-    return f"reason string, package_id string, target struct<name:string,kind:array<string>,src_path:string>, message {message_schema()}"
+PLACE = ("line_start", "line_end", "column_start", "column_end")
 
 
 def _complete(spans: Column) -> Column:
@@ -52,26 +53,50 @@ def diagnostics(records: DataFrame, run: Column | None = None, ordinal: Column |
     )
 
 
-def suggestions(message: Column, depth: int = DEPTH) -> Column:
-    """Replacements of a message and of its notes, own spans first, then depth first; a note's level and message go with its own."""
-
-    def own(m: Column) -> Column:
-        offers = F.filter(_complete(m["spans"]), lambda s: s["suggested_replacement"].isNotNull())
-        return F.transform(
-            offers,
-            lambda s: F.struct(
-                m["level"].alias("level"), m["message"].alias("message"), s["file_name"].alias("file_name"), s["byte_start"].alias("byte_start"), s["byte_end"].alias("byte_end"),
-                s["suggested_replacement"].alias("suggested_replacement"), s["suggestion_applicability"].alias("applicability"),
-            ),
-        )
-
-    def all_(m: Column, left: int) -> Column:
-        if not left:
-            return own(m)
-        below = F.flatten(F.transform(m["children"], lambda c: all_(c, left - 1)))
-        return F.when(m["children"].isNull() | (F.size(m["children"]) == 0), own(m)).otherwise(F.concat(own(m), below))
-
-    return all_(message, depth)
+def _whole(value) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool)
+
+
+def nested_suggestions(children: str | None) -> list[tuple]:
+    """Replacements of notes and their notes, depth first; a note's level and message go with its own."""
+    out: list[tuple] = []
+    try:
+        notes = json.loads(children) if children else []
+    except ValueError:
+        return out
+    work = list(reversed(notes)) if isinstance(notes, list) else []
+    while work:
+        note = work.pop()
+        if not isinstance(note, dict):
+            continue
+        text = lambda key: note[key] if isinstance(note.get(key), str) else ""
+        spans = note.get("spans")
+        for s in spans if isinstance(spans, list) else []:
+            if not isinstance(s, dict) or not all(_whole(s.get(k)) for k in PLACE) or not all(isinstance(s.get(k), str) for k in ("file_name", "suggested_replacement")):
+                continue
+            at = [s[k] if _whole(s.get(k)) else None for k in ("byte_start", "byte_end")]
+            how = s.get("suggestion_applicability")
+            out.append((text("level"), text("message"), s["file_name"], *at, s["suggested_replacement"], how if isinstance(how, str) else None))
+        below = note.get("children")
+        work += reversed(below) if isinstance(below, list) else []
+    return out
+
+
+def suggestions(message: Column) -> Column:
+    """Replacements of a message and of its notes, own spans first, then depth first.
+
+    The notes are parsed in Arrow batches, as no schema bounds their depth.
+    """
+    placed = lambda s: F.forall(F.array(*[s[n].isNotNull() for n in ("file_name", "suggested_replacement", *PLACE)]), lambda x: x)
+    own = F.transform(
+        F.filter(message["spans"], placed),
+        lambda s: F.struct(
+            message["level"].alias("level"), message["message"].alias("message"), s["file_name"].alias("file_name"), s["byte_start"].alias("byte_start"), s["byte_end"].alias("byte_end"),
+            s["suggested_replacement"].alias("suggested_replacement"), s["suggestion_applicability"].alias("applicability"),
+        ),
+    )
+    below = F.udf(nested_suggestions, f"array<{SUGGESTION}>", useArrow=True)(message["children"])
+    return F.concat(F.coalesce(own, F.from_json(F.lit("[]"), f"array<{SUGGESTION}>")), below)
 
 
 WIDENING = [
@@ -101,10 +126,37 @@ def classify(rows: DataFrame, rules: DataFrame, guard: Column | None = None, cod
     return joined.filter(guard) if guard is not None else joined
 
 
+ACTIONS = {
+    "missing-trait": "keep the trait, its import or the feature that defines it",
+    "missing-type": "keep the type, its re-export or the feature that defines it",
+    "missing-value": "keep the function, constant, static or import",
+    "unresolved-path": "keep the module path or restore the package",
+    "missing-crate": "restore the dependency in the manifest",
+    "missing-module-file": "restore the module's file or drop its declaration",
+    "missing-method-or-associated-item": "keep the receiver's impls, its traits' imports and bounds",
+    "struct-field-surface-mismatch": "keep all fields of the owning struct",
+    "missing-conversion-trait-impl": "keep the conversion's impl",
+}
+
+
 def widening_candidates(rows: DataFrame) -> DataFrame:
-    """Errors that may be mended by keeping more symbols."""
+    """Errors that may be mended by keeping more symbols.
+
+    Adds kind, confidence, symbol, file_name and line_start of the first
+    primary span, how many suggestions there are and how many of them are
+    machine-applicable, and the action, in words of our own.
+    """
     guard = (F.col("code") != "E0277") | F.col("message").rlike(CONVERSION)
-    return classify(rows.filter("level = 'error'"), rule_table(rows.sparkSession), guard)
+    found = classify(rows.filter("level = 'error'"), rule_table(rows.sparkSession), guard)
+    primary = F.try_element_at(F.filter("spans", lambda s: s["is_primary"]), F.lit(1))
+    action = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    how_many = lambda keep: F.coalesce(F.size(F.filter("suggestions", keep)), F.lit(0)).cast("bigint")
+    fields = rows.schema["suggestions"].dataType.elementType.fieldNames()
+    sure = (lambda s: F.coalesce(s["applicability"] == "MachineApplicable", F.lit(False))) if "applicability" in fields else (lambda s: F.lit(False))
+    return found.withColumns({
+        "symbol": diagnostic_symbol(F.col("code"), F.col("message"), F.col("rendered")), "file_name": primary["file_name"], "line_start": primary["line_start"],
+        "n_suggestions": how_many(lambda s: F.lit(True)), "n_machine_applicable": how_many(sure), "action": action[F.col("kind")],
+    })
 
 
 def is_semantic_hazard(level: Column, code: Column, message: Column) -> Column:
@@ -114,16 +166,24 @@ def is_semantic_hazard(level: Column, code: Column, message: Column) -> Column:
     return (level == "warning") & (F.coalesce(named, F.lit(False)) | F.coalesce(snake, F.lit(False)) | text)
 
 
+#: Kind and severity by code, after semantic warnings.
+HAZARD_KINDS = {
+    ("cargo-timeout",): ("feedback-timeout", "blocker"),
+    ("cargo-stderr",): ("cargo-shape-failure", "blocker"),
+    ("E0463",): ("missing-crate", "blocker"),
+    ("E0583",): ("missing-module-file", "blocker"),
+    ("E0560", "E0609"): ("needs-field-surface", "high"),
+    ("E0277", "E0405", "E0412", "E0422", "E0425", "E0432", "E0433", "E0599"): ("needs-widening", "high"),
+}
+
+
 def hazard(level: Column, code: Column, message: Column) -> Column:
-    """STRUCT<kind, severity>, null for none; the first rule that fits decides."""
-    out = lambda kind, severity: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), F.lit(severity).alias("severity"))
-    missing = code.isin("E0405", "E0412", "E0422", "E0425", "E0432", "E0433", "E0599", "E0277", "E0283", "E0282", "E0308")
-    return (
-        F.when(is_semantic_hazard(level, code, message), out("semantic-warning", "high"))
-        .when(code.isin("cargo-timeout", "cargo-stderr", "E0463", "E0583"), out("build-blocked", "blocker"))
-        .when(code.isin("E0560", "E0609") | missing, out("missing-surface", "high"))
-        .when((level == "error") & code.isNotNull(), out("compiler-error", "medium"))
-    )
+    """STRUCT<kind, severity>, null for none; the first rule that fits decides, a code's at any level."""
+    out = lambda kind, severity: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
+    rule = F.when(is_semantic_hazard(level, code, message), out("semantic-warning", "high"))
+    for codes, (kind, severity) in HAZARD_KINDS.items():
+        rule = rule.when(code.isin(*codes), out(kind, severity))
+    return rule.when((level == "error") & code.isNotNull(), out("unclassified-compiler-error", "medium"))
 
 
 SEVERITIES = {"blocker": 0, "high": 1, "medium": 2, "low": 3}
@@ -139,7 +199,7 @@ def hazards(rows: DataFrame) -> DataFrame:
     return distinct.orderBy(rank, "kind", "code", "message")
 
 
-NOUNS = tuple(sorted("trait union static module enum constant method function struct variant variants field fields".split() + ["type alias", "associated items", "associated function", "associated constant"]))
+NOUNS = ("associated constant", "associated function", "associated items", "constant", "enum", "field", "fields", "function", "method", "module", "static", "struct", "trait", "type alias", "union", "variant", "variants")
 
 
 def is_repairable(level: Column, code: Column, message: Column) -> Column:
@@ -296,3 +356,63 @@ def metrics(rows: DataFrame, by: str = "run") -> DataFrame:
         F.count_distinct("code").alias("distinct_codes"),
     )
     return found.withColumn("status", feedback_status(F.col("errors"), F.col("warnings"), F.lit(False)))
+
+
+def feedback_summary(reports: DataFrame, rows: DataFrame, entries: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """One row with the counters of all reports (run, readable, resolved) and the status.
+
+    Candidates and hazards count once a run, as their reports list them.
+    entries: (run, symbol, name, matches, roots, module_roots, internal_globs,
+    globs, outcome) of the root resolution; `resolved` is null for a report
+    whose roots were not looked for, and false where that failed. An
+    unreadable report makes a run without findings partial. The baseline's
+    counters are null without one.
+    """
+    spark = rows.sparkSession
+    c = F.col
+    read = reports.agg(F.count_if("readable").alias("reports"), F.count_if(~c("readable")).alias("unreadable_reports"), F.count_if("resolved").alias("resolution_reports"), F.count_if(~c("resolved")).alias("resolution_errors"))
+    said = rows.agg(F.count("*").alias("diagnostics"), F.count_if(c("level") == "error").alias("errors"), F.count_if(c("level") == "warning").alias("warnings"))
+    wide = widening_candidates(rows).select("run", "kind", "code", "symbol", "file_name", "line_start", "message").distinct().agg(F.count("*").alias("widening_candidates"))
+    marked = rows.select("run", hazard(c("level"), c("code"), c("message")).alias("h"), "code", "message").filter("h is not null")
+    risky = marked.select("run", "h.kind", "code", "message").distinct().agg(F.count("*").alias("widening_hazards"))
+    bucket = glob_bucket(entries)
+    some = lambda name: F.coalesce(F.size(name) > 0, F.lit(False))
+    found = bucket.agg(
+        F.coalesce(F.sum(F.when(c("outcome") == "matched", F.size("roots")).otherwise(0)), F.lit(0)).alias("resolution_matched_roots"),
+        F.count_if(c("outcome") == "no_match").alias("resolution_skipped_no_match"),
+        F.count_if(c("outcome") == "too_many_matches").alias("resolution_skipped_too_many_matches"),
+        F.count_if(some("globs") | some("module_roots") | some("internal_globs")).alias("glob_import_context_entries"),
+        F.count_if(c("bucket") == "missing_export").alias("glob_import_missing_export_candidates"),
+        F.count_if(c("bucket") == "private_upstream").alias("glob_import_private_upstream_candidates"),
+    )
+    drift = api_mismatches(rows, entries).agg(F.count("*").alias("source_api_mismatch_candidates"))
+    if baseline is None:
+        known = spark.range(1).select(*[F.lit(None).cast("bigint").alias(f"feedback_baseline_{n}") for n in ("known_errors", "new_errors")], F.lit(None).cast("boolean").alias("feedback_baseline_compared"))
+    else:
+        known = against_baseline(rows, baseline).select(c("known_errors").alias("feedback_baseline_known_errors"), c("new_errors").alias("feedback_baseline_new_errors"), F.lit(True).alias("feedback_baseline_compared"))
+    out = read
+    for one in (said, wide, risky, found, drift, known):  # a row each
+        out = out.join(F.broadcast(one))
+    return out.withColumn("status", feedback_status(c("errors"), c("warnings"), c("unreadable_reports") > 0))
+
+
+def suggestion_count(rows: DataFrame, applicability: str | None = None) -> DataFrame:
+    """One row (n): suggestions of all diagnostics, of one applicability if it is named."""
+    keep = (lambda s: F.lit(True)) if applicability is None else (lambda s: F.coalesce(s["applicability"] == applicability, F.lit(False)))
+    return rows.agg(F.coalesce(F.sum(F.coalesce(F.size(F.filter("suggestions", keep)), F.lit(0))), F.lit(0)).alias("n"))
+
+
+def code_list(rows: DataFrame, ordinal: str = "ord") -> DataFrame:
+    """(code, ord): distinct codes by where they are first seen; empty and missing ones aside."""
+    return rows.filter((F.col("code").isNotNull()) & (F.col("code") != "")).groupBy("code").agg(F.min(ordinal).alias(ordinal))
+
+
+def sum_ints(rows: DataFrame, column: str) -> DataFrame:
+    """One row (total) of a text column's whole numbers; other values count nothing."""
+    return rows.agg(F.coalesce(F.sum(F.col(column).try_cast("bigint")), F.lit(0)).alias("total"))
+
+
+def counts_by_kind(rows: DataFrame, kinds: tuple[str, ...] = ("fn", "enum", "trait", "struct", "mod")) -> DataFrame:
+    """(kind, n) of every kind, zero where there is none."""
+    every = rows.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
+    return every.join(rows.groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").fillna(0, subset=["n"])

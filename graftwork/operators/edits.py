@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,46 @@ def remove_use_name(text: Column, name: str) -> Column:
     return F.regexp_replace(F.regexp_replace(text, whole, ""), grouped, "")
 
 
+def _without_spans(text: str, spans: list) -> str:
+    """Names at these (start, stop) taken out of `use` trees: with their comma, and with the whole declaration once it is empty."""
+    for start, stop in sorted({(s[0], s[1]) for s in spans}, reverse=True):
+        if not 0 <= start < stop <= len(text):
+            continue
+        after = re.compile(r"\s*,[ \t]*").match(text, stop)
+        before = re.search(r",\s*$", text[:start])
+        if after:
+            text = text[:start] + text[after.end() :]
+        elif before:
+            text = text[: before.start()] + text[stop:]
+        else:
+            text = text[:start] + text[stop:]
+    text = re.sub(r"(?:\w+::)*\{\s*\}\s*,?\s*(?=[^;{}]*\}\s*;)", "", text)
+    return re.sub(r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use[ \t]+(?:\w+::)*(?:\{\s*\})?[ \t]*;[ \t]*\n?", "", text)
+
+
+def remove_import_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """(file, text) without the imported names at spans (file, start, stop), in Arrow batches; spans outside a text are ignored."""
+    lists = spans.groupBy("file").agg(F.collect_set(F.struct("start", "stop")).alias("_s"))
+    cut = F.udf(_without_spans, "string", useArrow=True)
+    out = files.join(lists, "file", "left")
+    return out.select("file", F.when(F.col("_s").isNull(), F.col("text")).otherwise(cut("text", F.coalesce("_s", F.from_json(F.lit("[]"), "array<struct<start:bigint,stop:bigint>>")))).alias("text"))
+
+
+def path_root_edits(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """Edits (file, start, stop, replacement) that take the leading `::` off the paths at spans (file, start, stop)."""
+    at = spans.join(files, "file").filter((F.col("start") >= 0) & (F.col("stop") <= F.length("text")) & (F.substr("text", F.col("start").cast("int") + 1, F.lit(2)) == "::"))
+    return at.select("file", "start", (F.col("start") + 2).alias("stop"), F.lit("").alias("replacement"))
+
+
+def item_removals(items: DataFrame, files: DataFrame) -> DataFrame:
+    """Edits that remove whole items (file, start_line, end_line), their line ends included."""
+    from graftwork.operators.spans import line_starts
+
+    starts = files.select("file", F.concat(line_starts(F.col("text")), F.array(F.length("text"))).alias("_l"))
+    at = lambda line: F.coalesce(F.try_element_at("_l", line.cast("int")), F.element_at("_l", -1))
+    return items.join(starts, "file").select("file", at(F.col("start_line")).cast("bigint").alias("start"), at(F.col("end_line") + 1).cast("bigint").alias("stop"), F.lit("").alias("replacement"))
+
+
 def insert_above(text: Column, line: Column, attribute: str) -> Column:
     """Put an attribute, as deeply indented, above the nearest item that starts on or before the line."""
     lines = F.split(text, "\n")

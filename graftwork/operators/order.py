@@ -6,23 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftwork.functions.hashing import seeded_score
+from graftwork.operators.staging import Rounds
+
+
+#: Keys up to this many are broadcast, a larger budget is joined by shuffle.
+MAX_BROADCAST = 100_000
 
 
 def ordered_budget(rows: DataFrame, budget: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
     """All rows, with `queried` true for the first `budget` of each group in the order.
 
-    Without groups no rank is computed over one partition: the budget's last
-    key is found by a distributed top-k, and rows are compared with it. The
-    order has to be total.
+    Without groups no rank is computed over one partition: a distributed top-k
+    finds the budget's rows, ties going by all other columns that have an
+    order, and the table is joined with these. Rows equal in every column
+    can't be told apart; of the last key's repeats as many are marked as the
+    budget holds, the others not.
     """
     if by:
         nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         return rows.withColumn("queried", nth <= budget)
     if budget <= 0:
         return rows.withColumn("queried", F.lit(False))
-    marked = rows.withColumn("_row", F.struct(*[F.col(c) for c in rows.columns]))
-    first = marked.orderBy(*order).limit(budget).select("_row").withColumn("_in", F.lit(True))
-    return marked.join(F.broadcast(first), marked["_row"].eqNullSafe(first["_row"]), "left").select(*rows.columns, F.coalesce("_in", F.lit(False)).alias("queried"))
+    sorts = [c for c, t in rows.dtypes if "map<" not in t and t != "variant"]
+    top = Rounds(rows.sparkSession, "budget").save(rows.orderBy(*order, *sorts).limit(budget).withColumn("_nth", F.monotonically_increasing_id()))
+    last = top.orderBy(F.desc("_nth")).limit(1)
+    keys = top.select(*sorts).distinct().withColumn("_in", F.lit(True))
+    equal = lambda other: [rows[c].eqNullSafe(other[c]) for c in sorts]
+    keys = F.broadcast(keys) if budget <= MAX_BROADCAST else keys
+    marked = rows.join(keys, equal(keys), "left").select(*[rows[c] for c in rows.columns], F.coalesce("_in", F.lit(False)).alias("queried"))
+    edge = F.broadcast(last.select(*sorts))
+    repeats = rows.join(edge, equal(edge), "left_semi")
+    here = top.join(edge, [top[c].eqNullSafe(edge[c]) for c in sorts], "left_semi").count()
+    total = repeats.count()
+    if total == here:
+        return marked
+    # the last key has more rows than the budget: they are made anew, `here` of them marked
+    many = rows.sparkSession.range(total).withColumnRenamed("id", "_nth")
+    made = many.join(F.broadcast(repeats.limit(1))).select(*rows.columns, (F.col("_nth") < here).alias("queried"))
+    return marked.join(edge, [marked[c].eqNullSafe(edge[c]) for c in sorts], "left_anti").unionByName(made)
 
 
 def file_priority(is_root: Column, is_retained: Column) -> Column:
@@ -106,11 +127,23 @@ def stratified_sample(rows: DataFrame, stratum: str, preferred: list[str], ident
 
 
 def pinned(candidates: DataFrame, pins: DataFrame, fields: list[str]) -> DataFrame:
-    """(pin, matches, ok) of each pin: candidates that agree in every field that the pin sets; ok is exactly one."""
-    agree = F.lit(True)
-    for f in fields:
-        agree = agree & (F.col(f"p.{f}").isNull() | (F.col(f"p.{f}") == F.col(f"c.{f}")))
-    # pins are a hand-written list
-    joined = F.broadcast(pins).alias("p").join(candidates.alias("c"), agree, "left")
-    n = joined.groupBy("p.pin").agg(F.count("c.id").alias("matches"))
-    return n.withColumn("ok", F.col("matches") == 1)
+    """(pin, matches, ok) of each pin: candidates that agree in every field that the pin sets; ok is exactly one.
+
+    Pins are a hand-written list. Those that set the same fields meet the
+    candidates in one equi-join on these. A pin written twice, or two that ask
+    for the same, raise.
+    """
+    rows = pins.select("pin", *fields).collect()
+    asked = [tuple(r[f] for f in fields) for r in rows]
+    if len(set(asked)) < len(asked) or len({r.pin for r in rows}) < len(rows):
+        raise ValueError("a pin is given twice")
+    found = None
+    for mask in sorted({tuple(v is not None for v in a) for a in asked}):
+        own = [f for f, m in zip(fields, mask) if m]
+        some = pins.filter(F.expr("true" if not fields else " and ".join(f"`{f}` is {'not null' if m else 'null'}" for f, m in zip(fields, mask))))
+        hits = candidates.join(F.broadcast(some.select("pin", *own)), own) if own else candidates.join(F.broadcast(some.select("pin")))
+        found = hits.select("pin") if found is None else found.unionByName(hits.select("pin"))
+    if found is None:
+        return pins.select("pin", F.lit(0).cast("bigint").alias("matches"), F.lit(False).alias("ok"))
+    n = pins.select("pin").join(found.groupBy("pin").agg(F.count("*").alias("n")), "pin", "left")
+    return n.select("pin", F.coalesce("n", F.lit(0)).alias("matches"), (F.coalesce("n", F.lit(0)) == 1).alias("ok"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.functions.ident import aliased, joined, normalized, sorted_distinct
-from graftwork.operators.closure import first_by_rank, resolve_chain
+from graftwork.operators.closure import first_by_rank, reach, resolve_chain
 
 TYPE_KINDS = ("Struct", "Enum", "Union", "Type", "Trait")
 
@@ -94,6 +94,37 @@ def entry_targets(targets: DataFrame) -> DataFrame:
     return first_by_rank(targets.withColumn("rank", rank).filter("rank is not null"), "package", "rank", "src_path")
 
 
+def with_manifest_entries(targets: DataFrame, manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """(package, src_path, rank): the entry of every package; without a fitting target the manifest's `lib.path`, then
+    `src/lib.rs` where that is a file, then `src/main.rs`.
+
+    manifests: (package, root, lib_path).
+    """
+    own = entry_targets(targets).select("package", "src_path", "rank")
+    rest = manifests.join(own.select("package"), "package", "left_anti")
+    lib = F.concat("root", F.lit("/src/lib.rs"))
+    have = rest.withColumn("path", lib).join(files.select("path").distinct().withColumn("_there", F.lit(True)), "path", "left")
+    path = F.when(F.col("lib_path").isNotNull(), F.concat("root", F.lit("/"), "lib_path")).when(F.col("_there"), lib).otherwise(F.concat("root", F.lit("/src/main.rs")))
+    rank = F.when(F.col("lib_path").isNotNull(), 5).when(F.col("_there"), 6).otherwise(7)
+    return own.unionByName(have.select("package", path.alias("src_path"), rank.alias("rank")))
+
+
+def marked_sources(parsed: DataFrame, files: DataFrame, marker: str) -> DataFrame:
+    """(path) of files with an item that the attribute marks; a file that can't be parsed is searched line by line."""
+    named = rf"^(?:\w+\s*::\s*)*{marker}\b"
+    by_item = parsed.filter("status = 'ok'").filter(F.exists("items", lambda i: F.exists(i["attrs"], lambda a: a.rlike(named)))).select("path")
+    broken = parsed.filter("status <> 'ok'").select("path").join(files, "path")
+    return by_item.unionByName(broken.filter(F.col("text").rlike(rf"(?m)^[ \t]*#\[ ?{marker}")).select("path"))
+
+
+def marked_targets(targets: DataFrame, modules: DataFrame, marked: DataFrame) -> DataFrame:
+    """Targets (package, name, src_path) with `marked`: whether a file that the entry reaches through modules (path, child) is marked."""
+    roots = targets.select(F.col("src_path").alias("entry"), F.col("src_path").alias("node")).distinct()
+    seen = reach(modules, roots, src="path", dst="child", by=("entry",))
+    hit = seen.join(marked.select(F.col("path").alias("node")), "node", "left_semi").select(F.col("entry").alias("src_path")).distinct().withColumn("marked", F.lit(True))
+    return targets.join(hit, "src_path", "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+
+
 def dependency_rows(raw: DataFrame, entries: DataFrame) -> DataFrame:
     """(package, alias, dep_package), sorted distinct; development ones only for test, bench and example entries."""
     dev_ok = entries.select("package", F.arrays_overlap("kind", F.array(F.lit("example"), F.lit("test"), F.lit("bench"))).alias("_dev"))
@@ -119,12 +150,12 @@ def unresolved_method() -> Column:
     """STRUCT<category, reason> of a row (in_macro, primitive_turbofish, external_anchor, external_receiver, project_method)."""
     out = lambda c, r: F.struct(F.lit(c).alias("category"), F.lit(r).alias("reason"))
     return (
-        F.when(F.col("in_macro"), out("macro_blocked", "macro"))
-        .when(F.col("primitive_turbofish"), out("benign", "primitive turbofish"))
-        .when(F.col("external_anchor"), out("benign", "external anchor"))
-        .when(F.col("external_receiver"), out("benign", "external receiver"))
-        .when(F.col("project_method"), out("dependency_risk", "project method of this name"))
-        .otherwise(out("benign", "no project method of this name"))
+        F.when(F.col("in_macro"), out("macro_blocked", "unresolved_method_inside_macro_or_attribute_context"))
+        .when(F.col("primitive_turbofish"), out("benign", "unresolved_method_has_primitive_turbofish"))
+        .when(F.col("external_anchor"), out("benign", "unresolved_method_receiver_has_external_anchor"))
+        .when(F.col("external_receiver"), out("benign", "unresolved_method_looks_like_common_external_receiver"))
+        .when(F.col("project_method"), out("dependency_risk", "unresolved_method_name_matches_project_method"))
+        .otherwise(out("benign", "unresolved_method_has_no_project_local_method_match"))
     )
 
 
@@ -132,13 +163,13 @@ def unresolved_path() -> Column:
     """STRUCT<category, reason> of a row (in_macro, root, external_root, imported, derived_default, project_local)."""
     out = lambda c, r: F.struct(F.lit(c).alias("category"), F.lit(r).alias("reason"))
     return (
-        F.when(F.col("in_macro"), out("macro_blocked", "macro"))
-        .when(F.col("root").isin("std", "core", "alloc"), out("benign", "standard library"))
-        .when(F.col("external_root"), out("benign", "external dependency"))
-        .when(F.col("imported"), out("benign", "imported symbol"))
-        .when(F.col("derived_default"), out("benign", "derived default"))
-        .when(F.col("project_local"), out("dependency_risk", "project-local path"))
-        .otherwise(out("benign", "no project anchor"))
+        F.when(F.col("in_macro"), out("macro_blocked", "unresolved_path_inside_macro_or_attribute_context"))
+        .when(F.col("root").isin("std", "core", "alloc"), out("benign", "unresolved_path_has_external_root"))
+        .when(F.col("external_root"), out("benign", "unresolved_path_has_external_dependency_root"))
+        .when(F.col("imported"), out("benign", "unresolved_path_has_retained_external_import"))
+        .when(F.col("derived_default"), out("benign", "unresolved_path_is_derived_default_call"))
+        .when(F.col("project_local"), out("dependency_risk", "unresolved_path_anchor_matches_project_local_identifier"))
+        .otherwise(out("benign", "unresolved_path_has_no_project_local_identifier"))
     )
 
 
@@ -158,8 +189,22 @@ def edges_by_path(references: DataFrame, symbols: DataFrame, kind: str = "direct
 
 
 def edges_by_method(calls: DataFrame, index: DataFrame) -> DataFrame:
-    """(owner, dep, kind) of calls with a known receiver type; a call without one keeps a single unambiguous match."""
-    typed = calls.filter("type_path is not null").join(index, ["package", "type_path", "method"]).select("owner", F.explode("ids").alias("dep"), F.lit("receiver_method").alias("kind"))
-    by_name = index.groupBy("package", "method").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("_ids")).filter(F.size("_ids") == 1)
-    bare = calls.filter("type_path is null").join(by_name, ["package", "method"]).select("owner", F.col("_ids")[0].alias("dep"), F.lit("single_name").alias("kind"))
-    return typed.unionByName(bare).filter("owner <> dep").distinct()
+    """(owner, dep, kind) of calls with a known receiver type; a call without one keeps a single unambiguous match.
+
+    Repeated calls go before they meet their candidates. An id under one
+    receiver alone can't come twice for an owner then, so only ids that several
+    receivers share are made distinct after the explosion.
+    """
+    asked = calls.filter("type_path is not null").select("owner", "package", "type_path", "method").distinct()
+    receivers = index.select("package", "type_path", "method", F.explode("ids").alias("id"))
+    shared = receivers.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select("id", F.lit(True).alias("_shared"))
+    split = receivers.join(shared, "id", "left").groupBy("package", "type_path", "method").agg(
+        F.collect_list(F.when(F.col("_shared").isNull(), F.col("id"))).alias("_own"), F.collect_list(F.when(F.col("_shared"), F.col("id"))).alias("_shared")
+    )
+    met = asked.join(split, ["package", "type_path", "method"])
+    own, common = met.select("owner", F.explode("_own").alias("dep")), met.select("owner", F.explode("_shared").alias("dep")).distinct()
+    typed = own.unionByName(common).select("owner", "dep", F.lit("receiver_method").alias("kind"))
+    ends = index.filter(F.size("ids") > 0).groupBy("package", "method").agg(F.min(F.array_min("ids")).alias("_lo"), F.max(F.array_max("ids")).alias("_hi"))
+    bare = calls.filter("type_path is null").select("owner", "package", "method").distinct().join(ends.filter("_lo = _hi"), ["package", "method"])
+    single = bare.select("owner", F.col("_lo").alias("dep"), F.lit("single_name").alias("kind")).distinct()
+    return typed.unionByName(single).filter("owner <> dep")

@@ -14,15 +14,17 @@ def extent(start_line: Column, start_col: Column, end_line: Column, end_col: Col
     return (end_line - start_line) * 10_000 + F.greatest(end_col - start_col, F.lit(0))
 
 
-def innermost(points: DataFrame, spans: DataFrame, group: str = "file") -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, group: str = "file", kinds: tuple[str, ...] = ()) -> DataFrame:
     """Each point with the id and kind of the innermost span around it, or nulls.
 
     points: (point, group, line, col); spans: (id, kind, group, start_line,
     start_col, end_line, end_col), both ends inclusive. Callables come before
     items, then the smaller extent, then the smaller id. The range join is an
     equi-join on the group and a bucket of lines; a span goes to every bucket
-    that it touches, so each pair meets once.
+    that it touches, so each pair meets once. With `kinds` only spans of these
+    kinds count.
     """
+    spans = spans.filter(F.col("kind").isin(*kinds)) if kinds else spans
     bucket = lambda line: F.floor(F.col(line) / BUCKET)
     wide = spans.withColumn("_bucket", F.explode(F.sequence(bucket("start_line"), F.greatest(bucket("start_line"), bucket("end_line")))))
     wide = wide.select(group, "_bucket", "id", "kind", "start_line", "start_col", "end_line", "end_col")

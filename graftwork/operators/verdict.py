@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Warnings that an accepted check answers, by the first word of their codes.
-ANSWERED = {
-    "semantic": "unresolved_paths unresolved_method_calls reduction_hints_applied path_budget_exhausted method_call_budget_exhausted file_failures file_budget_exhausted analyzer_unavailable "
-    "inventory_partially_applied inventory_not_applied inventory_available",
-    "custom": "macro_invocations derive_macros attribute_macros",
-    "syntactic": "method_fallbacks method_fallback_cap",
-    "dynamic": "callback_boundaries",
-    "conditional": "compilation_attrs",
-}
-DISCHARGED = tuple(f"{word}_{rest}" for word, rests in ANSWERED.items() for rest in rests.split())
+#: Warnings that an accepted check answers.
+DISCHARGED = (
+    "conditional_compilation_attrs",
+    "custom_attribute_macros",
+    "custom_derive_macros",
+    "custom_macro_invocations",
+    "dynamic_callback_boundaries",
+    "semantic_analyzer_unavailable",
+    "semantic_file_budget_exhausted",
+    "semantic_file_failures",
+    "semantic_inventory_available",
+    "semantic_inventory_not_applied",
+    "semantic_inventory_partially_applied",
+    "semantic_method_call_budget_exhausted",
+    "semantic_path_budget_exhausted",
+    "semantic_reduction_hints_applied",
+    "semantic_unresolved_method_calls",
+    "semantic_unresolved_paths",
+    "syntactic_method_fallback_cap",
+    "syntactic_method_fallbacks",
+)
 
 
 def warning_discharged(code: Column) -> Column:
@@ -103,8 +114,9 @@ def row_status(status: Column) -> Column:
 
 
 def attempts(feedback: Column, repair: Column, check: Column) -> Column:
-    """The largest loop count, at least one; one more where a loop runs."""
-    return F.greatest(feedback, repair, check.cast("int"), F.lit(1)) + F.when((feedback > 0) | (repair > 0), 1).otherwise(0)
+    """The largest of the loops' counts and the check's, at least one; one more where a loop checks at all."""
+    loops = (feedback > 0) | (repair > 0)
+    return F.greatest(feedback, repair, check.cast("int"), F.lit(1)) + F.when((check | loops) & loops, 1).otherwise(0)
 
 
 def accepted(success: Column, new_hazards: Column, warnings: Column, deny: Column, repairable: Column | None = None) -> Column:

@@ -90,12 +90,13 @@ def package_closure(t: Tables):
 
 
 @query("""
-WITH calls AS (SELECT 'c' || o_custkey AS owner, 'c' || (l_partkey % (SELECT count(*) FROM customer)) AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
-SELECT count(*) AS calls, count(*) FILTER (owner <> target) AS edges, 0::BIGINT AS unmapped FROM calls
+WITH calls AS (SELECT 'c' || o_custkey AS owner, 'c' || (l_partkey % ((SELECT count(*) FROM customer) + 50)) AS target, l_linenumber % 2 = 0 AS inside FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+known AS (SELECT 'c' || c_custkey AS id FROM customer)
+SELECT count(*) AS calls, count(*) FILTER (owner <> target AND target IN (SELECT id FROM known)) AS edges, count(*) FILTER (inside AND target NOT IN (SELECT id FROM known)) AS unmapped FROM calls
 """)
 def call_edge_counters(t: Tables):
     n = t.customer.agg(F.count("*").alias("n"))
-    calls = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(F.broadcast(n)).select(node("c", "o_custkey").alias("owner"), F.concat(F.lit("c"), (F.col("l_partkey") % F.col("n")).cast("string")).alias("target"), F.lit(True).alias("in_workspace"))
+    calls = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(F.broadcast(n)).select(node("c", "o_custkey").alias("owner"), F.concat(F.lit("c"), (F.col("l_partkey") % (F.col("n") + 50)).cast("string")).alias("target"), (F.col("l_linenumber") % 2 == 0).alias("in_workspace"))
     every = t.customer.select(node("c", "c_custkey").alias("id"))
     return closure.call_edges(calls, every, every)[1]
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from graftwork.functions import arguments, ident
 from graftwork.operators import audit, closure, diag, edits, order, resolve, spans, verdict
 from graftwork.plans.registry import Tables, query
+from graftwork.sources import readers
 
 words = lambda *x: F.array(*[F.lit(i) for i in x]).cast("array<string>")
 
@@ -14,8 +15,7 @@ WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS s FROM do
 SELECT doc_id, count(*) AS n, min(s) AS first FROM l WHERE s <> '' AND NOT starts_with(s, '#') GROUP BY doc_id
 """)
 def selector_lines(t: Tables):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("s")).select("doc_id", F.trim("s").alias("s"))
-    return lines.filter((F.col("s") != "") & ~F.col("s").startswith("#")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("s").alias("first"))
+    return readers.selectors(t.documents.select("doc_id", "text"), "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("selector").alias("first"))
 
 
 @query("SELECT p_name AS id, arg_max(p_brand, p_partkey) AS brand, max(p_partkey) AS ord FROM part GROUP BY p_name")
@@ -71,15 +71,18 @@ def workspace_sources(t: Tables):
 
 @query("""
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'macro_blocked' WHEN event_type IN ('view', 'click', 'purchase') THEN 'benign' WHEN user_id % 2 = 0 THEN 'dependency_risk' ELSE 'benign' END AS method,
-  CASE WHEN event_type = 'error' THEN 'macro' WHEN event_type = 'view' THEN 'standard library' WHEN event_type = 'click' THEN 'external dependency' WHEN event_type = 'purchase' THEN 'imported symbol' WHEN user_id % 2 = 0 THEN 'project-local path' ELSE 'no project anchor' END AS path
+  CASE WHEN event_type = 'error' THEN 'unresolved_method_inside_macro_or_attribute_context' WHEN event_type = 'view' THEN 'unresolved_method_has_primitive_turbofish' WHEN event_type = 'click' THEN 'unresolved_method_receiver_has_external_anchor'
+    WHEN event_type = 'purchase' THEN 'unresolved_method_looks_like_common_external_receiver' WHEN user_id % 2 = 0 THEN 'unresolved_method_name_matches_project_method' ELSE 'unresolved_method_has_no_project_local_method_match' END AS method_reason,
+  CASE WHEN event_type = 'error' THEN 'unresolved_path_inside_macro_or_attribute_context' WHEN event_type = 'view' THEN 'unresolved_path_has_external_root' WHEN event_type = 'click' THEN 'unresolved_path_has_external_dependency_root'
+    WHEN event_type = 'purchase' THEN 'unresolved_path_has_retained_external_import' WHEN user_id % 5 = 0 THEN 'unresolved_path_is_derived_default_call' WHEN user_id % 2 = 0 THEN 'unresolved_path_anchor_matches_project_local_identifier' ELSE 'unresolved_path_has_no_project_local_identifier' END AS path
 FROM events
 """)
 def unresolved_classes(t: Tables):
     e = F.col("event_type")
     flags = {"in_macro": e == "error", "primitive_turbofish": e == "view", "external_anchor": e == "click", "external_receiver": e == "purchase", "project_method": F.col("user_id") % 2 == 0,
-             "root": F.when(e == "view", "std").otherwise("x"), "external_root": e == "click", "imported": e == "purchase", "derived_default": F.lit(False), "project_local": F.col("user_id") % 2 == 0}
+             "root": F.when(e == "view", "std").otherwise("x"), "external_root": e == "click", "imported": e == "purchase", "derived_default": F.col("user_id") % 5 == 0, "project_local": F.col("user_id") % 2 == 0}
     rows = t.events.withColumns(flags)
-    return rows.select("event_id", resolve.unresolved_method()["category"].alias("method"), resolve.unresolved_path()["reason"].alias("path"))
+    return rows.select("event_id", resolve.unresolved_method()["category"].alias("method"), resolve.unresolved_method()["reason"].alias("method_reason"), resolve.unresolved_path()["reason"].alias("path"))
 
 
 @query("SELECT DISTINCT l_partkey AS target FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
@@ -150,10 +153,11 @@ def repair_passes(t: Tables):
     return edits.passes_that_run(c).groupBy("file").agg(F.count_if(F.col("state") == "skipped").alias("skipped"), F.count_if(F.col("state") == "deferred").alias("deferred"))
 
 
-@query("SELECT sum(l_linenumber)::BIGINT * 6 AS total_changes, sum(l_linenumber)::BIGINT * 5 AS total_without_lint_allows FROM lineitem")
+@query("SELECT (sum(l_linenumber) + sum(l_suppkey) + sum(l_partkey) + sum(l_quantity::BIGINT) + sum(l_orderkey % 7) + sum(l_orderkey % 11))::BIGINT AS total_changes, (sum(l_linenumber) + sum(l_suppkey) + sum(l_partkey) + sum(l_quantity::BIGINT) + sum(l_orderkey % 7))::BIGINT AS total_without_lint_allows FROM lineitem")
 def repair_totals(t: Tables):
     names = ["removed_items", "removed_imports", "path_edits", "suggestion_edits", "added_dead_code_allows", "added_lint_allows"]
-    return edits.repair_totals(t.lineitem.select(*[F.col("l_linenumber").cast("bigint").alias(n) for n in names]))
+    parts = [F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey"), F.col("l_quantity"), F.col("l_orderkey") % 7, F.col("l_orderkey") % 11]
+    return edits.repair_totals(t.lineitem.select(*[p.cast("bigint").alias(n) for p, n in zip(parts, names)]))
 
 
 @query("""
@@ -177,15 +181,15 @@ def budget_advice(t: Tables):
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'slice_preflight_failed' WHEN o_custkey % 4 > 0 THEN CASE WHEN o_custkey % 7 = 0 THEN 'slice_baseline_limited_passed' ELSE 'slice_feedback_failed' END
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'slice_preflight_failed' WHEN o_custkey % 4 > 0 THEN CASE WHEN o_custkey % 7 <> 0 THEN 'slice_feedback_failed' WHEN o_orderpriority = '1-URGENT' THEN 'slice_semantic_warning_failed' ELSE 'slice_baseline_limited_passed' END
   WHEN o_orderpriority = '1-URGENT' THEN 'slice_semantic_warning_failed' ELSE 'slice_check_passed' END AS label,
   NOT (o_orderstatus = 'P') AND o_orderpriority <> '1-URGENT' AND (o_custkey % 4 = 0 OR o_custkey % 7 = 0) AS passed
-FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND o_custkey % 4 > 0)
+FROM orders
 """)
 def corpus_labels(t: Tables):
     k, no = F.col("o_custkey"), F.lit(False)
     none = F.lit(None).cast("string")
-    rows = t.orders.filter("not (o_orderpriority = '1-URGENT' and o_custkey % 4 > 0)").withColumns({
+    rows = t.orders.withColumns({
         "timed_out": no, "exit_code": F.lit(0), "preflight_ok": F.col("o_orderstatus") != "P", "feedback_ok": F.lit(True), "errors": k % 4, "warnings": F.lit(0), "semantic_warnings": (F.col("o_orderpriority") == "1-URGENT").cast("int"),
         "all_known": k % 7 == 0, "preflight_only": no, "deny_warnings": no, "stop_on_warning": no, "baseline_ok": F.lit(True), "validation_status": none, "matrix_gate": none,
     })

@@ -15,21 +15,21 @@ def fnv(text: str, seed: int = 0) -> str:
 
 
 @query("""
-WITH pts AS (SELECT o_orderkey AS point, o_custkey AS file, (o_orderdate::DATE - DATE '1970-01-01') AS line FROM orders),
+WITH pts AS (SELECT o_orderkey AS point, o_custkey AS file, (o_orderdate::DATE - DATE '1970-01-01') AS line, o_orderkey % 9 AS col FROM orders),
 spans AS (
-  SELECT 'item' || file AS id, 'item' AS kind, file, min(line) AS a, max(line) AS b FROM pts GROUP BY file
-  UNION ALL SELECT 'call' || point, 'callable', file, line, line + 90 FROM pts WHERE point IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
+  SELECT 'item' || file AS id, 'item' AS kind, file, min(line) AS a, max(line) AS b, 3 AS ca, 4 AS cb FROM pts GROUP BY file
+  UNION ALL SELECT 'call' || point, 'callable', file, line, line + point % 90, 4, 6 FROM pts WHERE point IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
 ), ranked AS (
-  SELECT p.point, p.file, p.line, s.id, s.kind, row_number() OVER (PARTITION BY p.point ORDER BY (s.kind <> 'callable'), s.b - s.a, s.id) AS n
-  FROM pts p LEFT JOIN spans s ON s.file = p.file AND p.line BETWEEN s.a AND s.b
+  SELECT p.point, p.file, p.line, s.id, s.kind, row_number() OVER (PARTITION BY p.point ORDER BY (s.kind <> 'callable'), (s.b - s.a) * 10000 + greatest(s.cb - s.ca, 0), s.id) AS n
+  FROM pts p LEFT JOIN spans s ON s.file = p.file AND (p.line, p.col) >= (s.a, s.ca) AND (p.line, p.col) <= (s.b, s.cb)
 )
 SELECT point, file, line, id AS owner, kind AS owner_kind FROM ranked WHERE n = 1
 """)
 def innermost_span(t: Tables):
-    pts = t.orders.select(F.col("o_orderkey").alias("point"), F.col("o_custkey").alias("file"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint").alias("line"), F.lit(0).alias("col"), "o_orderpriority")
-    zero = [F.lit(0).alias(c) for c in ("start_col", "end_col")]
-    item = pts.groupBy("file").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line")).select(F.concat(F.lit("item"), "file").alias("id"), F.lit("item").alias("kind"), "file", "start_line", "end_line", *zero)
-    call = pts.filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("call"), "point").alias("id"), F.lit("callable").alias("kind"), "file", F.col("line").alias("start_line"), (F.col("line") + 90).alias("end_line"), *zero)
+    pts = t.orders.select(F.col("o_orderkey").alias("point"), F.col("o_custkey").alias("file"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint").alias("line"), (F.col("o_orderkey") % 9).alias("col"), "o_orderpriority")
+    cols = lambda a, b: (F.lit(a).alias("start_col"), F.lit(b).alias("end_col"))
+    item = pts.groupBy("file").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line")).select(F.concat(F.lit("item"), "file").alias("id"), F.lit("item").alias("kind"), "file", "start_line", "end_line", *cols(3, 4))
+    call = pts.filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("call"), "point").alias("id"), F.lit("callable").alias("kind"), "file", F.col("line").alias("start_line"), (F.col("line") + F.col("point") % 90).alias("end_line"), *cols(4, 6))
     return spans.innermost(pts.drop("o_orderpriority"), item.unionByName(call)).select("point", "file", "line", "owner", "owner_kind")
 
 

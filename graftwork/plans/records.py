@@ -7,38 +7,53 @@ from graftwork.operators import audit, diag, preflight, resolve, verdict
 from graftwork.plans.registry import Tables, query
 
 
+CODES = ("E0425", "E0277", "E0308", "E0599", "E0463", "E0560", "cargo-timeout", "E0999")
+
+
 def event_diagnostics(t: Tables):
-    """Events as diagnostics: one run per user, codes by event type."""
+    """Events as diagnostics: one run per user, codes by event type, a primary span in a file by event, a package by user."""
     e = F.col("event_type")
-    code = F.when(e == "error", F.element_at(F.array(*[F.lit(c) for c in ("E0425", "E0277", "E0308", "E0599")]), (F.col("event_id") % 4 + 1).cast("int"))).when(e == "view", "unused_imports").when(e == "click", "dead_code").when(e == "signup", "unreachable_patterns")
+    code = F.when(e == "error", F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("event_id") % 8 + 1).cast("int"))).when(e == "view", "unused_imports").when(e == "click", "dead_code").when(e == "signup", "unreachable_patterns")
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("function `f"), F.col("user_id").cast("string"), F.lit("` x: From<y>"))).otherwise(F.concat(F.lit("value "), (F.col("event_id") % 10).cast("string")))
+    place = lambda primary: F.struct(
+        F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string")).alias("file_name"), *[(F.col("event_id") % 7).alias(n) for n in ("line_start", "line_end")], *[F.lit(1).cast("bigint").alias(n) for n in ("column_start", "column_end")],
+        F.lit(primary).alias("is_primary"), F.from_json(F.lit("[]"), "array<struct<text:string>>").alias("text"), *[F.lit(None).cast("bigint").alias(n) for n in ("byte_start", "byte_end")], *[F.lit(None).cast("string").alias(n) for n in ("suggested_replacement", "suggestion_applicability")],
+    )
+    offer = lambda how: F.struct(F.lit("x").alias("suggested_replacement"), F.lit(how).alias("applicability"))
     none = F.lit(None)
     return t.events.select(
         F.col("user_id").alias("run"), F.col("event_id").alias("ord"), F.when(e == "error", "error").otherwise("warning").alias("level"), text.alias("message"), code.alias("code"),
-        none.cast("string").alias("package_id"), none.cast("struct<name:string,kind:array<string>,src_path:string>").alias("target"), none.cast("string").alias("rendered"),
-        F.from_json(F.lit("[]"), f"array<{diag.SPAN}>").alias("spans"), F.from_json(F.lit("[]"), "array<struct<suggested_replacement:string>>").alias("suggestions"),
+        F.concat(F.lit("pkg"), (F.col("event_id") % 2).cast("string")).alias("package_id"), F.struct(F.lit("t").alias("name"), F.array(F.lit("lib"), F.lit("bin")).alias("kind"), none.cast("string").alias("src_path")).alias("target"),
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("shown "), (F.col("event_id") % 6).cast("string"))).alias("rendered"),
+        F.when(F.col("event_id") % 4 == 0, F.array(place(False))).otherwise(F.array(place(False), place(True))).alias("spans"),
+        F.when(F.col("event_id") % 2 == 0, F.array(offer("MachineApplicable"), offer("MaybeIncorrect"))).otherwise(F.array().cast("array<struct<suggested_replacement:string,applicability:string>>")).alias("suggestions"),
     )
 
 
 DIAG = """
 d AS (SELECT user_id AS run, event_id AS ord, CASE event_type WHEN 'error' THEN 'error' ELSE 'warning' END AS level,
   CASE WHEN event_id % 3 = 0 THEN 'function `f' || user_id || '` x: From<y>' ELSE 'value ' || (event_id % 10) END AS message,
-  CASE event_type WHEN 'error' THEN list_extract(['E0425', 'E0277', 'E0308', 'E0599'], (event_id % 4 + 1)::INTEGER) WHEN 'view' THEN 'unused_imports' WHEN 'click' THEN 'dead_code' WHEN 'signup' THEN 'unreachable_patterns' END AS code
-  FROM events)"""
+  CASE event_type WHEN 'error' THEN list_extract(['E0425', 'E0277', 'E0308', 'E0599', 'E0463', 'E0560', 'cargo-timeout', 'E0999'], (event_id % 8 + 1)::INTEGER) WHEN 'view' THEN 'unused_imports' WHEN 'click' THEN 'dead_code' WHEN 'signup' THEN 'unreachable_patterns' END AS code,
+  CASE WHEN event_id % 3 = 0 THEN 'f' || user_id END AS symbol, CASE WHEN event_id % 4 > 0 THEN 'f' || (event_id % 5) END AS file_name, CASE WHEN event_id % 4 > 0 THEN event_id % 7 END AS line_start,
+  'pkg' || (event_id % 2) AS package, CASE WHEN event_id % 4 = 0 THEN 'shown ' || (event_id % 6) END AS rendered, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS offers
+  FROM events),
+k AS (SELECT *, level || '|' || coalesce(code, '') || '|' || package || '|' || coalesce(file_name, '') || '|' || CASE WHEN file_name IS NULL THEN coalesce(rendered, '') ELSE '' END || '|' || message AS key FROM d)"""
 
 
 @query(f"""
 WITH {DIAG}
-SELECT ord, code, CASE code WHEN 'E0425' THEN 'missing-value' WHEN 'E0599' THEN 'missing-method-or-associated-item' ELSE 'missing-conversion-trait-impl' END AS kind,
-  CASE code WHEN 'E0425' THEN 'high' ELSE 'medium' END AS confidence
-FROM d WHERE code IN ('E0425', 'E0599') OR (code = 'E0277' AND message LIKE '%: From<%')
+SELECT ord, code, CASE code WHEN 'E0425' THEN 'missing-value' WHEN 'E0599' THEN 'missing-method-or-associated-item' WHEN 'E0463' THEN 'missing-crate' WHEN 'E0560' THEN 'struct-field-surface-mismatch' ELSE 'missing-conversion-trait-impl' END AS kind,
+  CASE WHEN code IN ('E0425', 'E0463') THEN 'high' ELSE 'medium' END AS confidence, symbol, file_name, line_start, offers::BIGINT AS n_suggestions, (offers // 2)::BIGINT AS n_machine_applicable
+FROM d WHERE level = 'error' AND (code IN ('E0425', 'E0599', 'E0463', 'E0560') OR (code = 'E0277' AND message LIKE '%: From<%'))
 """)
 def widening_candidates(t: Tables):
-    return diag.widening_candidates(event_diagnostics(t)).select("ord", "code", "kind", "confidence")
+    return diag.widening_candidates(event_diagnostics(t)).select("ord", "code", "kind", "confidence", "symbol", "file_name", "line_start", "n_suggestions", "n_machine_applicable")
 
 
 @query(f"""
-WITH {DIAG}, h AS (SELECT DISTINCT code, message, CASE WHEN code = 'unreachable_patterns' THEN 'semantic-warning' ELSE 'missing-surface' END AS kind, 'high' AS severity FROM d WHERE code = 'unreachable_patterns' OR code LIKE 'E%')
+WITH {DIAG}, h AS (SELECT DISTINCT code, message, CASE WHEN code = 'unreachable_patterns' THEN 'semantic-warning' WHEN code = 'cargo-timeout' THEN 'feedback-timeout' WHEN code = 'E0463' THEN 'missing-crate'
+  WHEN code = 'E0560' THEN 'needs-field-surface' WHEN code IN ('E0425', 'E0277', 'E0599') THEN 'needs-widening' ELSE 'unclassified-compiler-error' END AS kind,
+  CASE WHEN code IN ('cargo-timeout', 'E0463') THEN 'blocker' WHEN code IN ('E0308', 'E0999') THEN 'medium' ELSE 'high' END AS severity FROM d WHERE code = 'unreachable_patterns' OR level = 'error')
 SELECT * FROM h
 """)
 def feedback_hazards(t: Tables):
@@ -47,9 +62,9 @@ def feedback_hazards(t: Tables):
 
 @query(f"""
 WITH {DIAG}, m AS (SELECT run, count(*) AS diagnostics, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings,
-  count(*) FILTER (code IN ('E0425', 'E0599') OR (code = 'E0277' AND message LIKE '%: From<%')) AS widening_candidates,
-  count(*) FILTER (code LIKE 'E%' OR code = 'unreachable_patterns') AS widening_hazards, count(*) FILTER (code = 'unreachable_patterns') AS semantic_warnings,
-  count(*) FILTER (code = 'unused_imports' OR (code = 'dead_code' AND message LIKE '%function `%')) AS repairable_warnings, 0::BIGINT AS suggestions, count(DISTINCT code) AS distinct_codes FROM d GROUP BY run)
+  count(*) FILTER (level = 'error' AND (code IN ('E0425', 'E0599', 'E0463', 'E0560') OR (code = 'E0277' AND message LIKE '%: From<%'))) AS widening_candidates,
+  count(*) FILTER (level = 'error' OR code = 'unreachable_patterns') AS widening_hazards, count(*) FILTER (code = 'unreachable_patterns') AS semantic_warnings,
+  count(*) FILTER (code = 'unused_imports' OR (code = 'dead_code' AND message LIKE '%function `%')) AS repairable_warnings, sum(offers)::BIGINT AS suggestions, count(DISTINCT code) AS distinct_codes FROM d GROUP BY run)
 SELECT *, CASE WHEN errors > 0 THEN 'errors' WHEN warnings > 0 THEN 'warnings' ELSE 'clean' END AS status FROM m
 """)
 def feedback_metrics(t: Tables):
@@ -62,10 +77,9 @@ def counts_by_level(t: Tables):
 
 
 @query(f"""
-WITH {DIAG}, old AS (SELECT DISTINCT code, message FROM d WHERE level = 'error' AND run % 2 = 0)
-SELECT count(*) FILTER (EXISTS (SELECT 1 FROM old o WHERE o.code = d.code AND o.message = d.message)) AS known_errors,
-  count(*) FILTER (NOT EXISTS (SELECT 1 FROM old o WHERE o.code = d.code AND o.message = d.message)) AS new_errors
-FROM d WHERE level = 'error' AND run % 2 = 1
+WITH {DIAG}, old AS (SELECT DISTINCT key FROM k WHERE level = 'error' AND run % 2 = 0)
+SELECT count(*) FILTER (key IN (SELECT key FROM old)) AS known_errors, count(*) FILTER (key NOT IN (SELECT key FROM old)) AS new_errors
+FROM k WHERE level = 'error' AND run % 2 = 1
 """)
 def baseline_comparison(t: Tables):
     rows = event_diagnostics(t)
@@ -73,15 +87,25 @@ def baseline_comparison(t: Tables):
 
 
 @query(f"""
-WITH {DIAG}, w AS (SELECT DISTINCT message FROM d WHERE code = 'unreachable_patterns' AND run % 2 = 0),
-n AS (SELECT message FROM d WHERE code = 'unreachable_patterns' AND run % 2 = 1 AND message NOT IN (SELECT message FROM w))
-SELECT count(*) AS row_count, count(DISTINCT message) AS key_count FROM n
+WITH {DIAG}, w AS (SELECT DISTINCT key FROM k WHERE code = 'unreachable_patterns' AND run % 2 = 0),
+n AS (SELECT key FROM k WHERE code = 'unreachable_patterns' AND run % 2 = 1 AND key NOT IN (SELECT key FROM w))
+SELECT count(*) AS row_count, count(DISTINCT key) AS key_count FROM n
 """)
 def new_semantic_hazards(t: Tables):
     rows = event_diagnostics(t)
     return diag.new_semantic_hazards(rows.filter("run % 2 = 1"), rows.filter("run % 2 = 0"))
 
 
+@query(f"""
+WITH {DIAG}, e AS (SELECT run % 3 AS g, key FROM k WHERE level = 'error')
+SELECT (SELECT bool_and(key IN (SELECT key FROM e WHERE g = 0)) FROM e WHERE g = 1) AS known, (SELECT count(DISTINCT key) > 0 FROM e WHERE g = 2) AS same
+""")
+def baseline_known(t: Tables):
+    rows = event_diagnostics(t)
+    part = lambda g: rows.filter(f"run % 3 = {g}")
+    return t.spark.range(1).select(F.lit(diag.all_known(part(1), part(0), True, True)).alias("known"), F.lit(diag.all_known(part(2), part(2), True, True)).alias("same"))
+
+
 @query("SELECT conv_id, string_agg(role || '|' || text, chr(10) ORDER BY role || '|' || text) AS signature FROM conversations GROUP BY conv_id")
 def order_insensitive_signature(t: Tables):
     return diag.signature(t.conversations.withColumn("line", F.concat("role", F.lit("|"), "text")), "conv_id", "line")
@@ -99,7 +123,7 @@ def ticked_tokens(t: Tables):
 
 @query("""
 WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS c FROM documents)
-SELECT doc_id, lpad((doc_id + 1)::VARCHAR, greatest(4, length((doc_id + 1)::VARCHAR))::INTEGER, '0') || '-' || substr(CASE c WHEN '' THEN 'root' ELSE c END, 1, 96) AS slug FROM s WHERE doc_id < 9999
+SELECT doc_id, lpad((doc_id + 1)::VARCHAR, greatest(4, length((doc_id + 1)::VARCHAR))::INTEGER, '0') || '-' || substr(CASE c WHEN '' THEN 'root' ELSE c END, 1, 96) AS slug FROM s
 """)
 def output_slugs(t: Tables):
     return t.documents.select("doc_id", ident.output_slug(F.col("doc_id") + 1, F.col("text")).alias("slug"))
@@ -118,13 +142,13 @@ def canonical_ids(t: Tables):
 
 @query("""
 WITH s AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda x: x <> '') AS p, page_id % 4 AS k FROM pages),
-q AS (SELECT page_id, list_slice(p, 2, 3) AS module, list_prepend(list_extract(['crate', 'self', 'super', 'other'], (k + 1)::INTEGER), list_slice(p, 4, 9)) AS segs, k FROM s)
-SELECT page_id, array_to_string(CASE k WHEN 0 THEN list_slice(segs, 2, 99) WHEN 1 THEN list_concat(module, list_slice(segs, 2, 99)) WHEN 2 THEN list_concat(list_slice(module, 1, len(module) - 1), list_slice(segs, 2, 99)) ELSE segs END, '::') AS resolved FROM q
+q AS (SELECT page_id, list_slice(p, 2, 3) AS module, list_prepend(list_extract(['crate', 'self', 'super', 'other'], (k + 1)::INTEGER), list_slice(p, 4, 999)) AS segs, k FROM s)
+SELECT page_id, array_to_string(CASE k WHEN 0 THEN list_slice(segs, 2, 999) WHEN 1 THEN list_concat(module, list_slice(segs, 2, 999)) WHEN 2 THEN list_concat(list_slice(module, 1, len(module) - 1), list_slice(segs, 2, 999)) ELSE segs END, '::') AS resolved FROM q
 """)
 def normalised_paths(t: Tables):
     parts = F.filter(F.split(F.regexp_replace("url", "[?#].*$", ""), "/"), lambda x: x != "")
     head = F.element_at(F.array(*[F.lit(x) for x in ("crate", "self", "super", "other")]), (F.col("page_id") % 4 + 1).cast("int"))
-    found = t.pages.select("page_id", F.slice(parts, 2, 2).alias("module"), F.concat(F.array(head), F.slice(parts, 4, 6)).alias("segs"))
+    found = t.pages.select("page_id", F.slice(parts, 2, 2).alias("module"), F.concat(F.array(head), F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0)))).alias("segs"))
     return found.select("page_id", F.array_join(ident.normalized(F.col("module"), F.col("segs")), "::").alias("resolved"))
 
 
@@ -150,14 +174,18 @@ def conditions(t: Tables):
 
 
 @query("""
-WITH f AS (SELECT n_nationkey AS package, l_returnflag || l_linestatus AS surface FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)
-SELECT n_nationkey AS package, count(*) FILTER (surface = 'AF') AS af, count(*) FILTER (surface = 'NO') AS no_, count(*) FILTER (surface = 'RF') AS rf
-FROM nation LEFT JOIN f ON package = n_nationkey GROUP BY n_nationkey
+WITH f AS (SELECT CASE WHEN s_suppkey % 5 > 0 THEN s_nationkey END AS package, list_extract(['used_callables', 'reachable_items', 'prunable_items', 'rendered_members', 'macro_surfaces', 'unknown_surfaces', 'other'], l_linenumber::INTEGER) AS surface FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+n AS (SELECT coalesce(package::VARCHAR, '<unknown-package>') AS package, surface FROM f), p AS (SELECT n_nationkey::VARCHAR AS package FROM nation UNION SELECT '<unknown-package>' WHERE EXISTS (SELECT 1 FROM n WHERE package = '<unknown-package>'))
+SELECT p.package, count(*) FILTER (surface = 'used_callables') AS used_callables, count(*) FILTER (surface = 'used_items') AS used_items, count(*) FILTER (surface = 'reachable_items') AS reachable_items, count(*) FILTER (surface = 'prunable_items') AS prunable_items,
+  count(*) FILTER (surface = 'rendered_members') AS rendered_members, count(*) FILTER (surface = 'macro_surfaces') AS macro_surfaces, count(*) FILTER (surface = 'unknown_surfaces') AS unknown_surfaces
+FROM p LEFT JOIN n USING (package) GROUP BY p.package
 """)
 def surface_pivot(t: Tables):
-    rows = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_nationkey").alias("package"), F.concat("l_returnflag", "l_linestatus").alias("surface"))
-    wide = audit.pivot_with_seeds(rows, t.nation.select(F.col("n_nationkey").alias("package")), "package", "surface", ("AF", "NO", "RF"))
-    return wide.select("package", F.col("AF").alias("af"), F.col("NO").alias("no_"), F.col("RF").alias("rf"))
+    names = F.array(*[F.lit(x) for x in ("used_callables", "reachable_items", "prunable_items", "rendered_members", "macro_surfaces", "unknown_surfaces", "other")])
+    package = F.when(F.col("s_suppkey") % 5 > 0, F.col("s_nationkey").cast("string")).alias("package")
+    rows = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(package, F.element_at(names, F.col("l_linenumber")).alias("surface"))
+    wide = audit.surface_audit(rows, t.nation.select(F.col("n_nationkey").cast("string").alias("package")), t.nation.limit(0).select(F.lit("").alias("package")))
+    return wide.select("package", "used_callables", "used_items", "reachable_items", "prunable_items", "rendered_members", "macro_surfaces", "unknown_surfaces")
 
 
 @query("""
@@ -216,13 +244,13 @@ def production_verdict(t: Tables):
 
 
 @query("""
-SELECT event_id, event_type = 'purchase' AND k % 5 = 0 AND (k % 2 = 0 OR k % 3 = 0) AS accepted, greatest(k % 4, k % 3, 1) + CASE WHEN k % 4 > 0 OR k % 3 > 0 THEN 1 ELSE 0 END AS attempts
+SELECT event_id, event_type = 'purchase' AND k % 5 = 0 AND (k % 2 = 0 OR k % 3 = 0) AS accepted, greatest(k % 4, k % 3, 1) + CASE WHEN k % 4 > 0 OR k % 3 > 0 THEN 1 ELSE 0 END AS attempts, CASE WHEN event_type IN ('purchase', 'view') THEN 'accepted' ELSE 'rejected' END AS row_status
 FROM (SELECT event_id, event_type, (props::JSON->>'$.k')::INTEGER AS k FROM events)
 """)
 def acceptance(t: Tables):
     k = F.get_json_object("props", "$.k").cast("int")
     ok = verdict.accepted(F.col("event_type") == "purchase", k % 5, k % 3, k % 2 != 0)
-    return t.events.select("event_id", ok.alias("accepted"), verdict.attempts(k % 4, k % 3, F.lit(False)).alias("attempts"))
+    return t.events.select("event_id", ok.alias("accepted"), verdict.attempts(k % 4, k % 3, k % 2 == 0).alias("attempts"), verdict.row_status(F.when(F.col("event_type") == "purchase", "accepted").when(F.col("event_type") == "view", "generated").otherwise(F.col("event_type"))).alias("row_status"))
 
 
 @query("""
@@ -245,11 +273,11 @@ def integrity_findings(t: Tables):
 
 
 @query("""
-SELECT l_partkey AS part, list_sort(list_distinct(list(l_suppkey))) [1] AS least, count(DISTINCT l_suppkey) AS candidates FROM lineitem GROUP BY l_partkey
+SELECT l_partkey AS part, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS ids FROM lineitem GROUP BY l_partkey
 """)
 def receiver_index(t: Tables):
     rows = t.lineitem.select(F.lit("p").alias("package"), F.col("l_partkey").alias("type_path"), F.lit("m").alias("method"), F.col("l_suppkey").alias("id"))
-    return resolve.methods_by_receiver(rows).select(F.col("type_path").alias("part"), F.col("ids")[0].alias("least"), F.size("ids").cast("bigint").alias("candidates"))
+    return resolve.methods_by_receiver(rows).select(F.col("type_path").alias("part"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query("""

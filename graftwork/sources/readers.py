@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.functions.ident import occurrences
 from graftwork.operators.diag import diagnostics, record_schema
+from graftwork.sources import rust
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +34,10 @@ METADATA = f"packages array<{PACKAGE}>, workspace_members array<string>, workspa
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(root, package struct) of workspace members in captured metadata documents."""
-    doc = spark.read.schema(METADATA).option("multiLine", True).json(path)
+    return workspace_members(spark.read.schema(METADATA).option("multiLine", True).json(path))
+
+
+def workspace_members(doc: DataFrame) -> DataFrame:
     each = doc.select("workspace_root", "workspace_members", F.explode("packages").alias("package"))
     return each.filter(F.array_contains("workspace_members", F.col("package.id"))).select(F.col("workspace_root").alias("root"), "package")
 
@@ -43,12 +50,18 @@ def metadata_dependencies(members: DataFrame) -> DataFrame:
     return members.select(F.col("package.name").alias("package"), F.explode("package.dependencies").alias("d")).select("package", "d.name", "d.rename", "d.kind", "d.path")
 
 
-def read_selectors(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, selector): trimmed lines, without blank ones and comments."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "_l")).select("ord", F.trim("_l").alias("selector"))
+def selectors(texts: DataFrame, text: str = "value") -> DataFrame:
+    """(the other columns, ord, selector): trimmed lines, without blank ones and comments."""
+    keep = [c for c in texts.columns if c != text]
+    lines = texts.select(*keep, F.posexplode(F.split(text, "\r?\n")).alias("ord", "_l")).select(*keep, "ord", F.trim("_l").alias("selector"))
     return lines.filter((F.col("selector") != "") & ~F.col("selector").startswith("#"))
 
 
+def read_selectors(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, selector) of a file of root selectors."""
+    return selectors(spark.read.text(path, wholetext=True))
+
+
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON document, or a single null row where there is none."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -64,44 +77,83 @@ def read_sources(spark: SparkSession, path: str, glob: str = "*.rs") -> DataFram
     return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-ITEM = r"^\s*(?:pub(?:\([\w: ]+\))?\s+)?(?:default\s+)?(?:async\s+|const\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*"
+def manifest_files(files: DataFrame, name: str = "Cargo.toml", skip: tuple[str, ...] = ("target", "node_modules", "__pycache__")) -> DataFrame:
+    """(path) of manifests among listed files, sorted; folders that hold output, or whose names start with a dot, are left out."""
+    parts = F.split("path", "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    hidden = F.exists(folders, lambda x: x.isin(*skip) | (x.startswith(".") & ~x.isin(".", "..")))
+    return files.filter((F.element_at(parts, -1) == name) & ~hidden).select("path").distinct().orderBy("path")
+
+
+PARSED_KINDS = ("lib", "proc-macro", "bin", "example", "test", "bench")
+
+
+def local_packages(members: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, root, entry, target_name, target_kinds) of targets that can be parsed and whose source is there."""
+    each = members.select(F.col("package.name").alias("name"), F.regexp_replace("package.manifest_path", r"/[^/]*$", "").alias("root"), F.explode("package.targets").alias("t"))
+    fits = each.filter(F.arrays_overlap("t.kind", F.array(*[F.lit(k) for k in PARSED_KINDS])))
+    out = fits.select("name", "root", F.col("t.src_path").alias("entry"), F.coalesce("t.name", "name").alias("target_name"), F.col("t.kind").alias("target_kinds"))
+    return out.join(files.select(F.col("path").alias("entry")).distinct(), "entry", "left_semi").select("name", "root", "entry", "target_name", "target_kinds")
+
+
+PUB = r"(?:pub(?:\([^)]*\))?\s+)?"
+NAME = r"([A-Za-z_]\w*)"
 PATTERNS = {
-    "fn": ITEM + r"fn\s+([A-Za-z_]\w*)",
-    "struct": ITEM + r"struct\s+([A-Za-z_]\w*)",
-    "enum": ITEM + r"enum\s+([A-Za-z_]\w*)",
-    "trait": ITEM + r"trait\s+([A-Za-z_]\w*)",
-    "mod": ITEM + r"mod\s+([A-Z_a-z]\w*)",
+    "fn": re.compile(r'(?:(?:pub(?:\([^)]*\))?|async|const|unsafe|extern\s+"[^"]+"|extern)\s+)*fn\s+' + NAME),
+    "enum": re.compile(PUB + r"enum\s+" + NAME),
+    "trait": re.compile(PUB + r"(?:unsafe\s+)?trait\s+" + NAME),
+    "struct": re.compile(PUB + r"struct\s+" + NAME),
+    "mod": re.compile(r"(?:pub\s+)?mod\s+" + NAME + r"(?:;|\s*\{)"),
 }
 LOOK_BACK = 5
 
 
-def source_lines(files: DataFrame) -> DataFrame:
-    return files.select("path", F.posexplode(F.split("text", "\n")).alias("_i", "line")).select("path", (F.col("_i") + 1).alias("number"), "line")
+def attributes_above(lines: list[str], i: int) -> Iterator[str]:
+    """Attribute lines among the five before line i, up to the first other one; blank lines are passed over."""
+    for line in reversed(lines[max(i - LOOK_BACK, 0) : i]):
+        line = line.strip()
+        if line and not line.startswith("#["):
+            return
+        if line:
+            yield line
+
 
+def scanned(text: str) -> list[dict]:
+    lines, out = re.split(r"\r\n|\r|\n", text), []
+    for i, line in enumerate(lines):
+        line = line.strip()
+        for kind, pattern in PATTERNS.items():
+            if m := pattern.match(line):
+                if not any("cfg(test)" in a or a == "#[test]" for a in attributes_above(lines, i)):
+                    out.append({"number": i + 1, "kind": kind, "name": m[1], "public": line.startswith("pub")})
+                break
+    return out
 
-def scan_items(files: DataFrame) -> DataFrame:
-    """(path, number, kind, name): declarations found line by line; the first pattern that fits a line wins, and lines
-    with a test attribute on one of the five lines before are skipped.
 
-    A file's look-back stays in its row, so nothing is shuffled.
+def scan_items(files: DataFrame, public_only: bool = False) -> DataFrame:
+    """(path, number, kind, name, public): declarations found line by line; the first pattern that fits a line decides,
+    and what a test attribute stands above is skipped.
+
+    A file stays in its row, so nothing is shuffled.
     """
-    lines = F.split("text", "\n")
-    window = F.transform(lines, lambda line, i: F.struct((i + 1).alias("number"), line.alias("line"), F.exists(F.slice(lines, F.greatest(i - LOOK_BACK + 1, F.lit(1)), F.least(i, F.lit(LOOK_BACK))), lambda x: x.rlike(r"#\[(?:\w+::)*test\b|#\[cfg\(test\)\]")).alias("tested")))
-    each = files.select("path", F.explode(window).alias("w")).select("path", "w.*").filter("not tested")
-    name = lambda k: F.nullif(F.regexp_extract("line", PATTERNS[k], 1), F.lit(""))
-    kind = F.coalesce(*[F.when(name(k).isNotNull(), k) for k in PATTERNS])
-    return each.select("path", "number", kind.alias("kind"), F.coalesce(*[name(k) for k in PATTERNS]).alias("name")).filter("kind is not null")
+    found = F.udf(scanned, "array<struct<number:bigint,kind:string,name:string,public:boolean>>", useArrow=True)
+    each = files.select("path", F.explode(found(F.coalesce("text", F.lit("")))).alias("i")).select("path", "i.*")
+    return each.filter("public") if public_only else each
+
+
+def crawl(files: DataFrame, entries: DataFrame, public_only: bool = False) -> DataFrame:
+    """(path, module_path, number, kind, name, public) of items in files that the entries reach through module declarations."""
+    from graftwork.operators.closure import module_tree
+
+    parsed = rust.parse_files(files)
+    declared = rust.declared_modules(parsed).select("path", F.concat_ws("::", F.concat("module", F.array("name"))).alias("module"), "candidates")
+    tree = module_tree(declared, files, entries).select("path", "module_path")
+    return scan_items(files, public_only).join(tree, "path").select("path", "module_path", "number", "kind", "name", "public")
 
 
 def declared_modules(files: DataFrame) -> DataFrame:
-    """(path, module, candidates) of `mod x;` lines: an explicit path, else x.rs, else x/mod.rs, below the file's own folder."""
-    found = source_lines(files).withColumn("module", F.nullif(F.regexp_extract("line", r"^\s*(?:pub(?:\([\w: ]+\))?\s+)?mod\s+([A-Z_a-z]\w*)\s*;", 1), F.lit(""))).filter("module is not null")
-    folder = F.regexp_replace("path", r"/[^/]*$", "")
-    stem = F.regexp_extract("path", r"([^/]*)\.rs$", 1)
-    base = F.when(stem.isin("mod", "lib", "main"), folder).otherwise(F.concat(folder, F.lit("/"), stem))
-    given = F.nullif(F.regexp_extract("line", r'#\[path\s*=\s*"([^"]+)"\]', 1), F.lit(""))
-    plain = F.array(F.concat(base, F.lit("/"), "module", F.lit(".rs")), F.concat(base, F.lit("/"), "module", F.lit("/mod.rs")))
-    return found.select("path", "module", F.when(given.isNotNull(), F.array(F.concat(folder, F.lit("/"), given))).otherwise(plain).alias("candidates"))
+    """(path, module, candidates) of `mod x;`: an explicit path, else x.rs, else x/mod.rs, below the file's own folder."""
+    return rust.declared_modules(rust.parse_files(files)).select("path", F.col("name").alias("module"), "candidates")
 
 
 def automod(files: DataFrame, folder: Column) -> DataFrame:
@@ -111,22 +163,12 @@ def automod(files: DataFrame, folder: Column) -> DataFrame:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """(path, name, target, glob) of `use` declarations, groups of one level flattened.
+    """(path, module, name, target, glob) of `use` declarations, groups of any depth flattened.
 
-    `a::{self}` gives the key `self`; a later entry of a name overwrites an earlier one.
+    `a::{self}` gives the key `self` and keeps it in its target; a later entry
+    of a name overwrites an earlier one of its module.
     """
-    uses = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(?:^|\n)\s*(?:pub(?:\([\w: ]+\))?\s+)?use\s+([^;]+);"), F.lit(1))).alias("u"))
-    clean = F.regexp_replace("u", r"\s+", " ")
-    prefix = F.regexp_extract(clean, r"^(.*?)::\s*\{", 1)
-    inner = F.regexp_extract(clean, r"\{(.*)\}\s*$", 1)
-    parts = F.when(clean.contains("{"), F.transform(F.split(inner, ","), lambda x: F.concat(prefix, F.lit("::"), F.trim(x)))).otherwise(F.array(F.trim(clean)))
-    each = uses.select("path", F.posexplode(parts).alias("pos", "e")).filter(~F.col("e").endswith("::"))
-    target = F.split(F.regexp_replace("e", r"(::self)?( as .*)?$", ""), "::")
-    name = F.coalesce(F.nullif(F.regexp_extract("e", r" as ([A-Za-z_]\w*)$", 1), F.lit("")), F.element_at(F.split("e", "::"), -1))
-    out = each.select("path", "pos", name.alias("name"), target.alias("target"), F.col("e").endswith("::*").alias("glob"))
-    globs = out.filter("glob").select("path", "name", F.slice("target", F.lit(1), F.size("target") - 1).alias("target"), "glob")
-    named = out.filter("not glob").groupBy("path", "name").agg(F.max_by("target", "pos").alias("target")).withColumn("glob", F.lit(False))
-    return named.unionByName(globs)
+    return rust.uses_of(rust.parse_files(files)).select("path", "module", "name", "target", "glob")
 
 
 def token_counts(files: DataFrame, name: str) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import posixpath
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.functions.arguments import confined
-
 MARKER = ".graftwork-output"
 
 
@@ -46,24 +49,88 @@ def _put(df: DataFrame, path: str, text: str) -> None:
         out.close()
 
 
+def leaves_root(path: Column, root: str) -> Column:
+    """Whether a path, absolute or taken from the root, climbs above the root at any point."""
+    base = root.rstrip("/") + "/"
+    inside = F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        depth = acc["depth"] + F.when(part.isin("", "."), 0).when(part == "..", -1).otherwise(1)
+        return F.struct(depth.alias("depth"), (acc["out"] | (depth < 0)).alias("out"))
+
+    end = F.aggregate(F.split(inside, "/"), start, step)
+    return path.isNull() | inside.startswith("/") | end["out"] | (end["depth"] <= 0)
+
+
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _checked(files: DataFrame, root: str) -> None:
+    """Every path is looked at before anything is written."""
+    bad = [r[0] for r in files.filter(leaves_root(F.col("path"), root)).select("path").take(5)]
+    if bad:
+        raise ValueError(f"paths outside {root}: {bad}")
+
+
+def _written(files: DataFrame, root: str) -> int:
+    """Executors write their rows' files, each whole or not at all; a repeated task writes the same again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        n = 0
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = posixpath.normpath(path.removeprefix(root.rstrip("/") + "/"))
+                target = f"{base}/{own}"
+                fs.create_dir(posixpath.dirname(target), recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write((text or "").encode("utf-8", "surrogatepass"))
+                fs.move(part, target)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    return files.select("path", "text").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def write_tree(files: DataFrame, root: str) -> int:
     """Write (path, text) files below a root that is new, empty or our own; returns how many.
 
-    Files stream through the driver one partition at a time; a path that
-    leaves the root is refused before anything is written.
+    A path that leaves the root is refused before anything is written. Of rows
+    with one path the last in order of their text stays.
     """
     spark = files.sparkSession
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(base) and len(fs.listStatus(base)) and not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{MARKER}")):
+    if fs.exists(base) and len(fs.listStatus(base)) and not _exists(spark, f"{root}/{MARKER}"):
         raise FileExistsError(f"{root} holds files that are not ours")
-    outside = files.filter(F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")).select("path")
-    bad = [r[0] for r in outside.take(5) if not confined(root, r[0])]
-    if bad:
-        raise ValueError(f"paths outside {root}: {bad}")
+    _checked(files, root)
     _put(files, f"{root}/{MARKER}", "")
-    n = 0
-    for path, text in files.select("path", "text").toLocalIterator():
-        _put(files, f"{root}/{path}", text)
-        n += 1
-    return n
+    return _written(files.groupBy("path").agg(F.max("text").alias("text")), root)
+
+
+def rewrite_sources(files: DataFrame, edited: DataFrame, root: str) -> int:
+    """Put edited texts (path, text) in place of the sources that they differ from; returns how many were written.
+
+    Files that the sources lack are not made, and unchanged ones not touched.
+    """
+    changed = edited.join(files.select("path", F.col("text").alias("_old")), "path").filter("not (text <=> _old)").select("path", "text")
+    _checked(changed, root)
+    return _written(changed, root)
+
+
+def summary_lines(df: DataFrame, title: str, counters: list[str], limit: int = 20) -> list[str]:
+    """What a console shows of one report row: a title with its counters; more than `limit` counters are told by their number."""
+    row = df.select(*counters).first()
+    shown = [f"{c}={row[c]}" for c in counters[:limit]] if row else []
+    return [f"{title}: {', '.join(shown)}" + (f", … {len(counters) - limit} more" if len(counters) > limit else "")]
+
+
+def heartbeats(events: DataFrame, interval_ms: int = 15_000) -> DataFrame:
+    """(event, started_ms, heartbeat, timestamp_ms): the beats of each event (event, started_ms, ended_ms), one for every whole interval that it ran."""
+    n = F.floor((F.col("ended_ms") - F.col("started_ms")) / interval_ms)
+    beats = events.filter(n > 0).select("event", "started_ms", F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias("heartbeat"))
+    return beats.withColumn("timestamp_ms", F.col("started_ms") + F.col("heartbeat") * interval_ms)

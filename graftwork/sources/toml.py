@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import datetime
-import glob
+import fnmatch
 import json
-import os
 import tomllib
 from collections.abc import Iterator
 
+import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 
+def place(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder's URI (local, HDFS, object store), and the path there."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -22,8 +27,14 @@ class TomlReader(DataSourceReader):
     """Files are dealt out to partitions; a file that can't be read or parsed is a row with that status."""
 
     def __init__(self, options: dict[str, str]):
-        path = options["path"]
-        self.paths = sorted(glob.glob(os.path.join(path, "**", options.get("glob", "Cargo.toml")), recursive=True)) if os.path.isdir(path) else [path]
+        self.uri = options["path"]
+        fs, root = place(self.uri)
+        pattern = options.get("glob", "Cargo.toml")
+        if fs.get_file_info(root).type == pafs.FileType.Directory:
+            found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+            self.paths = sorted(f.path for f in found if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, pattern))
+        else:
+            self.paths = [root]
         self.parts = int(options.get("partitions", "8"))
 
     def partitions(self) -> list[InputPartition]:
@@ -31,10 +42,11 @@ class TomlReader(DataSourceReader):
         return [_Files(self.paths[i::n]) for i in range(n)]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
+        fs, _ = place(self.uri)
         for path in partition.paths:
             try:
-                with open(path, "rb") as f:
-                    content = tomllib.load(f)
+                with fs.open_input_stream(path) as f:
+                    content = tomllib.loads(f.read().decode())
             except OSError:
                 yield path, "unreadable", None
             except (tomllib.TOMLDecodeError, UnicodeDecodeError):

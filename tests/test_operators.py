@@ -387,3 +387,41 @@ def test_resolution(spark):
     assert resolve.single_marked(spark.createDataFrame([("p", "a", True), ("p", "b", False)], "package string, name string, marked boolean")).first().target == "a"
     with pytest.raises(Exception, match="several marked"):
         resolve.single_marked(spark.createDataFrame([("p", "a", True), ("p", "b", True)], "package string, name string, marked boolean")).collect()
+
+
+@pytest.mark.parametrize(("budget", "marked"), [(0, 0), (1, 1), (3, 3), (4, 4), (9, 4)])
+def test_budget_of_repeated_rows(spark, budget, marked):
+    rows = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, None)], "k int, v string")
+    got = order.ordered_budget(rows, budget, [F.col("k")]).collect()
+    assert sorted((r.k, r.v or "") for r in got) == [(1, "x")] * 3 + [(2, "")]
+    assert sum(r.queried for r in got) == marked and all(r.k == 1 for r in got if r.queried) == (budget < 4)
+
+
+def test_pins_are_given_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a")], "id int, name string")
+    with pytest.raises(ValueError, match="twice"):
+        order.pinned(rows, spark.createDataFrame([(1, "a"), (2, "a")], "pin int, name string"), ["name"])
+
+
+def test_chains_of_length_and_cycles(spark):
+    aliases = [(f"p{i}", f"p{i + 1}") for i in range(40)] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("dead", "nowhere")]
+    starts = spark.createDataFrame([("p0",), ("p39",), ("c0",), ("dead",), ("p40",), ("unknown",)], "start string")
+    got = closure.resolve_chain(starts, spark.createDataFrame(aliases, "path string, target string"), spark.createDataFrame([("p40",)], "path string"))
+    assert {r.start: r.target for r in got.collect()} == {"p0": "p40", "p39": "p40", "c0": None, "dead": None, "p40": "p40", "unknown": None}
+
+
+def test_closure_merges_its_layers(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(25)] + [(25, 0)], "src int, dst int")
+    got = closure.reach(edges, spark.createDataFrame([(0,)], "node int"))
+    assert {(r.node, r.depth) for r in got.collect()} == {(i, i) for i in range(26)}
+
+
+def test_no_folder_of_the_machine(spark):
+    from graftwork.operators import staging
+
+    class Bare:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_folder(Bare())

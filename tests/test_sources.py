@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graftwork.sources import readers, sinks
+from graftwork.operators import resolve
+from graftwork.sources import readers, rust, sinks
 from graftwork.sources.toml import TomlSource
 from graftwork.streaming import events
 
@@ -46,6 +47,7 @@ def test_toml_source(spark, tmp_path):
 
 
 SOURCE = """use a::b::{C, d as e, self};
+use n::{p::{q, r}, s as t};
 use x::*;
 pub(crate) async fn run() {}
 struct S;
@@ -58,7 +60,8 @@ fn hidden() {}
 // e
 enum E {}
 mod child;
-#[path = "other.rs"] mod named;
+#[path = "other.rs"]
+pub(crate) mod named;
 trait T {}
 """
 
@@ -66,10 +69,14 @@ trait T {}
 def test_source_scan(spark):
     files = spark.createDataFrame([("/w/src/lib.rs", SOURCE), ("/w/src/child.rs", "mod deep;")], "path string, text string")
     assert {(r.kind, r.name) for r in readers.scan_items(files).collect()} == {("fn", "run"), ("struct", "S"), ("enum", "E"), ("mod", "child"), ("trait", "T"), ("mod", "deep")}
+    assert {r.name for r in readers.scan_items(files, public_only=True).collect()} == {"run"}
+    walked = readers.crawl(files, files.select("path").filter(F.col("path").endswith("lib.rs")))
+    assert {(r.name, tuple(r.module_path)) for r in walked.filter("kind = 'mod'").collect()} == {("child", ()), ("deep", ("child",))}
     mods = {r.module: r.candidates for r in readers.declared_modules(files).collect()}
     assert mods["child"] == ["/w/src/child.rs", "/w/src/child/mod.rs"] and mods["deep"][0] == "/w/src/child/deep.rs"
     got = {(r.name, tuple(r.target), r.glob) for r in readers.imports(files).collect()}
-    assert got == {("C", ("a", "b", "C"), False), ("e", ("a", "b", "d"), False), ("self", ("a", "b"), False), ("*", ("x",), True)}
+    assert got == {("C", ("a", "b", "C"), False), ("e", ("a", "b", "d"), False), ("self", ("a", "b", "self"), False), ("*", ("x",), True), ("q", ("n", "p", "q"), False), ("r", ("n", "p", "r"), False), ("t", ("n", "s"), False)}
+    assert mods["named"] == ["/w/src/other.rs"]
     assert [r.module for r in readers.automod(files, F.lit("/w/src")).collect()] == ["child", "lib"]
     assert readers.token_counts(files, "mod").count() == 2
 
@@ -89,7 +96,11 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(FileExistsError):
         sinks.write_tree(files, str(tmp_path / "foreign"))
     with pytest.raises(ValueError, match="outside"):
-        sinks.write_tree(spark.createDataFrame([("../x", "")], "path string, text string"), str(tmp_path / "out"))
+        sinks.write_tree(spark.createDataFrame([(f"a/../b{i}", "") for i in range(6)] + [("../escaped.txt", "")], "path string, text string"), str(tmp_path / "out"))
+    assert not (tmp_path / "escaped.txt").exists()
+    edited = spark.createDataFrame([("src/a.rs", "fn b() {}"), ("src/none.rs", "")], "path string, text string")
+    assert sinks.rewrite_sources(files, edited, str(tmp_path / "out")) == 1 and (tmp_path / "out/src/a.rs").read_text() == "fn b() {}" and not (tmp_path / "out/src/none.rs").exists()
+    assert sinks.summary_lines(df, "t", ["b"]) == ["t: b=1"]
     e = sinks.event(df, "done", F.lit("ok"), F.lit(0).cast("bigint"), {"n": F.col("b")}).first()
     assert e.event == "done" and e.elapsed_ms > 0 and e.fields == {"n": "1"}
 
@@ -103,3 +114,24 @@ def test_event_stream(spark, tmp_path):
     out = events.status_counts(events.read_event_log(spark, str(log)), "2 minutes").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     out.awaitTermination(60)
     assert sorted((r.status, r.n) for r in spark.table("counts").collect()) == [("bad", 1)] * 3 + [("ok", 1)] * 3
+
+
+def test_suggestions_of_any_depth(spark):
+    note = {"level": "note", "message": "deep", "spans": [SPAN | {"suggested_replacement": "y"}]}
+    for i in range(30):
+        note = {"level": "help", "message": f"m{i}", "children": [note, {"message": 3, "spans": [{"file_name": "x"}, 7]}]}
+    line = json.dumps({"reason": "compiler-message", "message": {"level": "error", "message": "m", "children": [note]}})
+    got = readers.parse_messages(spark.createDataFrame([(line,)], "value string")).first()
+    assert [(s.level, s.suggested_replacement, s.byte_start) for s in got.suggestions] == [("note", "y", 0)]
+
+
+def test_broken_and_awkward_sources(spark):
+    texts = {"open": "fn a( {", "none": None, "empty": "", "string": 'const A: &str = "}"; fn b() { let c = \'{\'; }', "comment": "/* { */ mod m { /* } */ }", "raw": 'fn r() { r#"}"# }'}
+    got = {r.path: r for r in rust.parse_files(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()}
+    assert {k for k, r in got.items() if r.status != "ok"} == {"open"}
+    assert [i.name for i in got["string"]["items"]] == ["A", "b"] and [i.name for i in got["comment"]["items"]] == ["m"] and got["none"]["items"] == []
+
+
+def test_marked_sources(spark):
+    files = spark.createDataFrame([("a", "#[keep]\nfn a() {}"), ("b", "fn b() {}"), ("c", "#[keep]\nfn c( {"), ("d", "impl X { #[m::keep] fn d() {} }")], "path string, text string")
+    assert {r.path for r in resolve.marked_sources(rust.parse_files(files), files, "(?:m::)?keep").collect()} == {"a", "c", "d"}
