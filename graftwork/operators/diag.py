@@ -260,16 +260,31 @@ def new_semantic_hazards(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return new.agg(F.count("*").alias("row_count"), F.count_distinct("_key").alias("key_count"))
 
 
+def exact_line() -> Column:
+    """A diagnostic with its positions."""
+    spans = F.transform(F.filter("spans", lambda s: s["is_primary"]), lambda s: F.concat_ws(":", s["file_name"], s["line_start"].cast("string"), s["column_start"].cast("string"), s["column_end"].cast("string")))
+    return _bars(F.col("level"), F.col("code"), F.col("message"), F.array_join(spans, ","))
+
+
+def shape_line() -> Column:
+    """A diagnostic without positions: package, target and sorted distinct files instead."""
+    return _bars(F.col("level"), F.col("code"), F.col("package_id"), _target("+"), F.col("message"), F.array_join(primary_files(F.col("spans")), ","))
+
+
 def exact_signature(rows: DataFrame, by: str = "run") -> DataFrame:
     """(run, signature): all rows with positions, sorted, repeats kept."""
-    spans = F.transform(F.filter("spans", lambda s: s["is_primary"]), lambda s: F.concat_ws(":", s["file_name"], s["line_start"].cast("string"), s["column_start"].cast("string"), s["column_end"].cast("string")))
-    return signature(rows.withColumn("_line", _bars(F.col("level"), F.col("code"), F.col("message"), F.array_join(spans, ","))), by, "_line")
+    return signature(rows.withColumn("_line", exact_line()), by, "_line")
 
 
 def shape_signature(rows: DataFrame, by: str = "run") -> DataFrame:
-    """(run, signature) without positions: package, target and sorted distinct files instead."""
-    line = _bars(F.col("level"), F.col("code"), F.col("package_id"), _target("+"), F.col("message"), F.array_join(primary_files(F.col("spans")), ","))
-    return signature(rows.withColumn("_line", line), by, "_line")
+    """(run, signature) of the rows' shapes."""
+    return signature(rows.withColumn("_line", shape_line()), by, "_line")
+
+
+def line_digest(line: Column) -> Column:
+    """What a signature says, as an aggregate of bounded size: the number of lines and two sums of their hashes."""
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), line).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return F.concat_ws(":", F.count(line).cast("string"), total(3), total(4))
 
 
 def signature(rows: DataFrame, by: str, line: str) -> DataFrame:

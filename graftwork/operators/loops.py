@@ -38,18 +38,18 @@ class Outcome:
 def _facts(attempt: Attempt, baseline: Attempt | None) -> dict:
     rows = attempt.diagnostics.withColumn("run", F.lit("now"))
     level, code, message = F.col("level"), F.col("code"), F.col("message")
-    errors, warnings, repairable = rows.agg(F.count_if(level == "error"), F.count_if(level == "warning"), F.count_if(diag.is_repairable(level, code, message))).first()
+    flags = [F.count_if(level == "error"), F.count_if(level == "warning"), F.count_if(diag.is_repairable(level, code, message))]
+    errors, warnings, repairable, exact, shape = rows.agg(*flags, diag.line_digest(diag.exact_line()), diag.line_digest(diag.shape_line())).first()
     empty = rows.limit(0)
     before = baseline.diagnostics if baseline else empty
-    one = lambda df: (r[1] if (r := df.first()) else "")
     return {
         "errors": errors,
         "warnings": warnings,
         "repairable": repairable,
         "new_hazards": diag.new_semantic_hazards(rows, before).first()[0],
         "all_known": bool(baseline) and diag.all_known(rows, before, not attempt.success, not baseline.success),
-        "exact": one(diag.exact_signature(rows)),
-        "shape": one(diag.shape_signature(rows)),
+        "exact": exact,
+        "shape": shape,
     }
 
 
