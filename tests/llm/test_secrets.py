@@ -1,11 +1,14 @@
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
 from graftwork.llm import secrets
 from tests.llm import data
@@ -73,3 +76,43 @@ def test_table(spark):
     assert len(got) == len(rows)
     assert [tuple(s) for s in next(r for r in got if r.doc_id == 900).base] == brute(rows[-1][1])
     assert secrets.scan_secrets(data.docs(spark, [])).count() == 0
+
+
+SECRET = 'x token = "Zx81kq0PLm44vTTs9" y'
+
+
+def kinds_of(text):
+    return {k for k, _, _ in secrets.find_spans(text)[1]}
+
+
+def wrapped(data, width=20):
+    b = base64.b64encode(data).decode()
+    return "\n".join(b[i : i + width] for i in range(0, len(b), width))
+
+
+@pytest.mark.parametrize("text", [
+    wrapped(SECRET.encode()), wrapped(gzip.compress((SECRET * 3).encode())), "key-" + base64.b64encode(SECRET.encode()).decode(), "https://h.example/r/" + base64.b64encode(SECRET.encode()).decode(),
+    "dir/x/" + base64.b64encode(zlib.compress(SECRET.encode())).decode(), "".join(f"%{b:02x}" for b in gzip.compress(SECRET.encode())), "".join(f"\\x{b:02x}" for b in zlib.compress(SECRET.encode())),
+    base64.b64encode(SECRET.encode("utf-16")).decode(), base64.b64encode(b"\0\x01" + SECRET.encode() + b"\xff").decode(), base64.b64encode(gzip.compress(b"none here") + gzip.compress(SECRET.encode())).decode(),
+    base64.b64encode(bz2.compress(SECRET.encode())).decode(), base64.b64encode(lzma.compress(SECRET.encode())).decode(), base64.b64encode(zstandard.compress(SECRET.encode())).decode(),
+    base64.b64encode(zlib.compress(base64.b64encode(gzip.compress(SECRET.encode())))).decode(),
+])
+def test_layers_are_opened_whole(text):
+    assert secrets.scan(text) == [] and kinds_of("see " + text + " end") == {"assign"}
+
+
+def test_long_streams_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 1 << 16)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    body = b"lorem ipsum, dolor. " * 20_000
+    for at in (0, 65_530, len(body)):
+        data = body[:at] + SECRET.encode() + body[at:]
+        for packed in (gzip.compress(data), bz2.compress(data), lzma.compress(data), zstandard.compress(data)):
+            assert kinds_of(base64.b64encode(packed).decode()) == {"assign"}
+
+
+def test_clean_runs_give_nothing():
+    rng = random.Random(5)
+    for _ in range(200):
+        raw = bytes(rng.randrange(256) for _ in range(rng.randrange(12, 400)))
+        assert not kinds_of("id " + base64.b64encode(raw).decode() + " end") - {k for k, _, _ in secrets.scan(base64.b64encode(raw).decode())}
