@@ -1,12 +1,20 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Documents go in batches, in the order of their ids. A batch's distinct lines
-become 128-bit hashes with the number of documents and the first document
-that holds them; hashes that the compacted runs have already settled (they
-reached the threshold) are anti-joined away, the rest is written as one more
-sorted run. When a level has `fanout` runs they are merged into one run of the
-next level. In the end the runs are merged once, hashes over the threshold
-are matched back to the documents, and their lines dropped.
+Documents go in batches, in the order of their ids (of a hash of ids that are
+no numbers). A batch's distinct lines become 128-bit hashes with the number of
+documents and the first document that holds them; hashes that the compacted
+runs have already settled (they reached the threshold) are anti-joined away,
+the rest is written as one more sorted run. Runs are bucketed by hash and
+sorted in their buckets, all in the same way, so a batch meets a run by
+merging bucket with bucket: the run is not shuffled again. When a level has
+`fanout` runs they are merged into one run of the next level. In the end the
+runs are merged once and give the hashes over the threshold.
+
+Up to `MAX_HOT` of these go to every task, which drops their lines in one pass
+over the documents; nothing is shuffled then. Beyond that hashes are matched
+back to the documents by joins: the few that a large share of all lines has
+are broadcast, the others shuffled, and each document meets its list. Both
+ways give the same rows.
 
 A line's key is the line without ASCII white space at its ends and with A-Z
 lower-cased; keys without a code point are never dropped.
@@ -15,11 +23,12 @@ Defined results: a null or empty text is one empty line, which stays. A row
 counts as a document of its own, repeated rows too. With keep="first" the
 document with the smallest id keeps its lines (nulls come last; repeated rows
 of that document all keep them). Texts are split whole. Other columns pass
-through; earlier ones named as the outputs are replaced.
+through, whatever their names; earlier ones named as the outputs are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graftwork.llm.common import Scratch
+from graftwork.llm.common import Scratch, free_name
 
-SALTS = 8
-ROW = ["_gw_a", "_gw_b"]
+#: Hashes over the threshold that every task may hold.
+MAX_HOT = 500_000
+#: At most this many hashes are broadcast when the others are joined by shuffle.
+MAX_BROADCAST = 100_000
 
 
 def line_hash(line: bytes) -> bytes:
@@ -41,21 +52,30 @@ def line_hash(line: bytes) -> bytes:
 
 
 class LineRuns:
-    """Sorted runs of (h, n, first) by level, in the shared folder."""
+    """Sorted runs of (h, n, first) by level, bucketed tables in the shared folder."""
 
     def __init__(self, scratch: Scratch, min_docs: int, fanout: int = 4):
         self.scratch, self.min_docs, self.fanout = scratch, min_docs, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = []
+        self.levels: list[list[str]] = []
         self.made = 0
+        # as many buckets as a shuffle has partitions, so that what a batch shuffled is written bucket by bucket
+        self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(self) -> list[DataFrame]:
-        return [df for level in self.levels for _, df in level]
+        return [self.scratch.spark.table(name) for level in self.levels for name in level]
 
     def _write(self, rows: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        name, self.made = f"run-{level}-{self.made}", self.made + 1
-        self.levels[level].append((name, self.scratch.save(rows.sortWithinPartitions("h"), name)))
+        name, self.made = f"run_{uuid.uuid4().hex}_{self.made}", self.made + 1
+        writer = rows.select("h", "n", "first").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h")
+        writer.option("path", self.scratch.at(name)).saveAsTable(name)
+        self.levels[level].append(name)
+
+    def drop(self, names: list[str]) -> None:
+        for name in names:
+            self.scratch.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.drop(*names)
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -77,17 +97,18 @@ class LineRuns:
 
     def compact(self, level: int) -> None:
         old = self.levels[level]
-        self._write(self._merged([df for _, df in old]), level + 1)
+        self._write(self._merged([self.scratch.spark.table(name) for name in old]), level + 1)
         self.levels[level] = []
-        self.scratch.drop(*(name for name, _ in old))
+        self.drop(old)
 
     def repeated(self) -> DataFrame:
         """(h, n, first) of hashes in at least min_docs documents."""
         return self._merged(self.runs()).filter(F.col("n") >= self.min_docs)
 
 
-def line_table(docs: DataFrame, key: str, text: str, bounds: list) -> DataFrame:
-    """(row key, document id, batch, h): each distinct line of each document once."""
+def line_table(docs: DataFrame, key: str, text: str, batch, with_rows: bool) -> DataFrame:
+    """(first, batch, h), and a and b of the row: each distinct line of each document once."""
+    names = ["first", "batch"] + (["a", "b"] if with_rows else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,23 +123,31 @@ def line_table(docs: DataFrame, key: str, text: str, bounds: list) -> DataFrame:
             yield made(batch, index, hashes)
 
     def made(batch: pa.RecordBatch, index: list[int], hashes: list[bytes]) -> pa.RecordBatch:
-        rows = batch.select(["_gw_a", "_gw_b", "first", "batch"]).take(pa.array(index, pa.int32()))
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(hashes, pa.binary())], names=[*rows.schema.names, "h"])
+        rows = batch.select(names).take(pa.array(index, pa.int32()))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(hashes, pa.binary())], names=[*names, "h"])
 
-    batch = F.lit(0)
-    for b in bounds:
-        batch = batch + F.when(F.col(key) > b, 1).otherwise(0)
-    batch = F.when(F.col(key).isNull(), F.lit(len(bounds))).otherwise(batch)
     # nulls compare as smallest in min(); a flag in front puts them last
     first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"))
-    source = docs.select(*row_key(key, text), first.alias("first"), batch.cast("int").alias("batch"), F.coalesce(text, F.lit("")).alias("t"))
+    source = docs.select(first.alias("first"), batch.cast("int").alias("batch"), *(row_key(key, text) if with_rows else []), F.coalesce(text, F.lit("")).alias("t"))
     schema = T.StructType([*(f for f in source.schema.fields if f.name != "t"), T.StructField("h", T.BinaryType())])
     return source.mapInArrow(run, schema)
 
 
 def row_key(key: str, text: str) -> list:
     """Two hashes of a row's id and text; equal rows share them, copies with their own ids don't."""
-    return [F.xxhash64(F.lit(salt), F.col(key), F.col(text)).alias(name) for salt, name in enumerate(ROW)]
+    return [F.xxhash64(F.lit(salt), F.col(key), F.col(text)).alias(name) for salt, name in enumerate("ab")]
+
+
+def batch_of(docs: DataFrame, key: str, batches: int):
+    """(the batch of a row, how many there are): by quantiles of a number, by a hash of any other id; null ids are in the last."""
+    if batches > 1 and isinstance(docs.schema[key].dataType, T.NumericType):
+        cuts = docs.agg(F.percentile_approx(key, [i / batches for i in range(1, batches)], 1000)).first()[0]
+        bounds = sorted(set(cuts or []))
+        at = F.lit(0)
+        for b in bounds:
+            at = at + F.when(F.col(key) > F.lit(b), 1).otherwise(0)
+        return F.when(F.col(key).isNull(), F.lit(len(bounds))).otherwise(at), len(bounds) + 1
+    return F.when(F.col(key).isNull(), F.lit(batches - 1)).otherwise(F.pmod(F.xxhash64(key), F.lit(batches))), batches
 
 
 def dedup_lines(
@@ -142,37 +171,67 @@ def dedup_lines(
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     scratch = Scratch(spark, "lines")
-    share = [i / batches for i in range(1, batches)]
-    cuts = docs.agg(F.percentile_approx(key, share, 1000)).first()[0] if share else []
-    bounds = sorted(set(cuts or []))
-    lines = scratch.save(line_table(docs, key, text, bounds), "lines", partition_by="batch")
+    batch, n_batches = batch_of(docs, key, batches)
+    lines = scratch.save(line_table(docs, key, text, batch, False), "lines", partition_by="batch")
     runs = LineRuns(scratch, min_docs, fanout)
-    for b in range(len(bounds) + 1):
+    for b in range(n_batches):
         runs.add(lines.filter(F.col("batch") == b))
-    # one hash may be in a third of all documents: its rows are spread over salts
-    hot = runs.repeated().select("h", F.col("first").alias("kept_by"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = lines.withColumn("salt", F.pmod(F.col("_gw_a"), F.lit(SALTS)).cast("int")).join(hot, ["h", "salt"])
-    if keep == "first":
-        hits = hits.filter(~F.col("first").eqNullSafe(F.col("kept_by")))
-    drop = hits.groupBy(*ROW).agg(F.collect_set("h").alias("_gw_drop"))
+    hot = scratch.save(runs.repeated(), "hot")
+    runs.drop([name for level in runs.levels for name in level])
+    total, n_hot = lines.count(), hot.count()
+    scratch.drop("lines")
 
     kept = [f for f in docs.schema.fields if f.name not in (n_lines, n_dropped)]
     out = T.StructType([*kept, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rewritten(batch: pa.RecordBatch, bad_of) -> pa.RecordBatch:
+        """The batch with the lines left out whose hash is bad in their row."""
+        texts, total, gone = [], [], []
+        for i, t in enumerate(batch.column(text).cast(pa.binary()).to_pylist()):
+            all_ = (t or b"").split(b"\n")
+            bad = bad_of(i)
+            left = [x for x in all_ if not bad(line_hash(x))] if bad else all_
+            texts.append(b"\n".join(left) if len(left) < len(all_) else t)
+            total.append(len(all_))
+            gone.append(len(all_) - len(left))
+        new = pa.array(texts, pa.binary()).cast(pa.string())
+        columns = [new if f.name == text else batch.column(f.name) for f in kept]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=out.fieldNames())
+
+    if n_hot <= MAX_HOT:
+        owners = {r.h: (r.first["id"] if keep == "first" else None) for r in hot.select("h", *(["first"] if keep == "first" else [])).toLocalIterator()}
+        shared = spark.sparkContext.broadcast({bytes(h): x for h, x in owners.items()})
+
+        def by_set(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in parts:
+                ids = batch.column(key).to_pylist() if keep == "first" else None
+
+                def bad_of(i: int):
+                    if ids is None:
+                        return known.__contains__
+                    own = ids[i]
+                    return lambda h: h in known and known[h] != own
+
+                yield rewritten(batch, bad_of if known else lambda i: None)
+
+        return docs.select(*[f.name for f in kept]).mapInArrow(by_set, out)
+
+    # the way beyond: at most MAX_BROADCAST hashes can each have more than this share of the lines
+    often = hot.filter(F.col("n") > max(total // MAX_BROADCAST, 100_000)).select("h", F.col("first").alias("kept_by"))
+    rest = hot.filter(F.col("n") <= max(total // MAX_BROADCAST, 100_000)).select("h", F.col("first").alias("kept_by"))
+    held = line_table(docs, key, text, F.lit(0), True).select("a", "b", "first", "h")
+    hits = held.join(F.broadcast(often), "h").unionByName(held.join(rest.hint("merge"), "h"))
+    if keep == "first":
+        hits = hits.filter(~F.col("first").eqNullSafe(F.col("kept_by")))
+    a, b, gone = (free_name(docs, x) for x in ("_gw_a", "_gw_b", "_gw_drop"))
+    drop = hits.groupBy(F.col("a").alias(a), F.col("b").alias(b)).agg(F.collect_set("h").alias(gone))
+
+    def by_list(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            texts, total, gone = [], [], []
-            for t, hashes in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("_gw_drop").to_pylist()):
-                all_ = (t or b"").split(b"\n")
-                bad = set(hashes or ())
-                left = [x for x in all_ if line_hash(x) not in bad] if bad else all_
-                texts.append(b"\n".join(left) if len(left) < len(all_) else t)
-                total.append(len(all_))
-                gone.append(len(all_) - len(left))
-            new = pa.array(texts, pa.binary()).cast(pa.string())
-            columns = [new if f.name == text else batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=out.fieldNames())
+            lists = batch.column(gone).to_pylist()
+            yield rewritten(batch, lambda i: set(lists[i]).__contains__ if lists[i] else None)
 
     names = [f.name for f in kept]
-    joined = docs.select(*names, *row_key(key, text)).join(drop, ROW, "left").select(*names, "_gw_drop")
-    return joined.mapInArrow(run, out)
+    named = docs.select(*names, *(x.alias(n) for x, n in zip((F.xxhash64(F.lit(s), F.col(key), F.col(text)) for s in range(2)), (a, b))))
+    return named.join(drop, [a, b], "left").select(*names, gone).mapInArrow(by_list, out)

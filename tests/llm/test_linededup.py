@@ -63,3 +63,20 @@ def test_runs_compact_into_levels(spark):
         runs.add(spark.createDataFrame([(bytes([x]), (False, b)) for x in range(b, b + 3)], "h binary, first struct<none:boolean,id:bigint>"))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert {r.h[0]: (r.n, r["first"].id) for r in runs.repeated().collect()} == {2: (3, 0), 3: (3, 1), 4: (3, 2)}
+
+
+def test_way_beyond_the_bound_is_the_same(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "MAX_HOT", -1)
+    docs = data.docs(spark, rows()).withColumns({"_gw_a": F.lit(1), "_GW_DROP": F.lit(2), "a": F.lit(3)})
+    for keep in ("none", "first"):
+        got = linededup.dedup_lines(spark, docs, min_docs=3, keep=keep)
+        assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()) == brute(rows(), 3, keep)
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = data.docs(spark, rows()).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    runs = lambda: {x.name for x in spark.catalog.listTables() if x.name.startswith("run_")}
+    before = runs()
+    got = linededup.dedup_lines(spark, docs, min_docs=3)
+    assert sorted(r.text or "" for r in got.collect()) == sorted(t for (_, _, _, t), n in brute(rows(), 3, "none").items() for _ in range(n))
+    assert runs() == before
