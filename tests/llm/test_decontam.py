@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from graftwork.llm import decontam
 from tests.llm import data
@@ -29,7 +31,9 @@ def brute_tiles(doc, item, tile):
         out.append(best)
 
 
-def test_tiles_against_the_textbook():
+@pytest.mark.parametrize("held", [1 << 20, 7])
+def test_tiles_against_the_textbook(monkeypatch, held):
+    monkeypatch.setattr(decontam, "MAX_PAIRS", held)
     rng = random.Random(4)
     for _ in range(300):
         doc = [rng.randrange(4) for _ in range(rng.randint(0, 30))]
@@ -73,3 +77,29 @@ def test_empty_tables(spark):
     assert decontam.tile_pairs(spark, data.docs(spark, rows), none).count() == 0
     assert decontam.tile_pairs(spark, data.docs(spark, []), spark.createDataFrame(items, ITEMS)).count() == 0
     assert decontam.tile_pairs(spark, data.docs(spark, []), none, max_words=-1).count() == 0
+
+
+def test_repetitive_texts_take_little_memory():
+    doc, item = np.full(20_000, 7, dtype=np.uint64), np.full(2_000, 7, dtype=np.uint64)
+    tracemalloc.start()
+    assert decontam.tiled(doc, item, 3) == [(2000, 0, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
+def test_running_hashes():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    words[30:40] = words[3:13]
+    h = decontam.rolling(words, 5)
+    assert len(h) == 46 and (h[30:36] == h[3:9]).all() and len(set(h.tolist())) == 40
+
+
+@pytest.mark.parametrize("kind", ["string", "smallint", "decimal(9,2)"])
+def test_ids_of_any_type(spark, kind, monkeypatch):
+    text = "one two three four five six seven eight"
+    items = spark.createDataFrame([(7, text)], "item_id int, text string").selectExpr(f"cast(item_id as {kind}) as item_id", "text")
+    docs = spark.createDataFrame([("a", "x " + text), ("b", None), ("c", "nothing of it")], "doc_id string, text string")
+    for limit in (decontam.MAX_WORDS, -1):
+        got = decontam.tile_pairs(spark, docs, items, max_words=limit).collect()
+        assert [(r.id, int(float(r.item_id)), r.covered) for r in got] == [("a", 7, 8)]
