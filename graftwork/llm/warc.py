@@ -18,7 +18,8 @@ and the same largest key are all responses; a null key revisits the largest
 one if there is any, else it is a response. A record that runs past the end
 of its file is not returned, nor is any after it; reading back what was
 written raises unless each file has as many records as the manifest says. A
-head may have any length. Other columns are ignored; an empty table writes no
+head may have any length. Keys are of any type that a text can be cast back to.
+Other columns are ignored; an empty table writes no
 file.
 """
 
@@ -29,6 +30,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -44,24 +46,31 @@ FILE_BYTES = 64 << 20
 BLOCK_BYTES = 8 << 20
 #: A table of repeated payloads up to this many rows is broadcast, a larger one joined by shuffle.
 MAX_BROADCAST = 100_000
+#: Tasks that read blocks; beyond it each reads several.
+MAX_TASKS = 20_000
 URN = "urn:page:"
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
+def name_of(key: str | None) -> str:
+    """A key as the last part of a record's URN; a null one has none."""
+    return "null" if key is None else "is-" + quote(str(key), safe="")
+
+
+def record(kind: str, page_id: str | None, url: str | None, payload: bytes, digest: bytes, refers_to: str | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http + (payload if kind == "response" else b"")
     clean = re.sub(r"[\r\n]+", " ", url or "")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <{URN}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{URN}{name_of(page_id)}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {clean}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
         "Content-Type: application/http;msgtype=response",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{URN}{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{URN}{name_of(refers_to)}>"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -88,14 +97,14 @@ def parse_head(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | No
 def write_archives(spark: SparkSession, pages: DataFrame, scratch: Scratch, key: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = 1000, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write all rows; returns the manifest (file, size, records)."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = F.octet_length("payload") >= min_revisit
     many = rows.filter(large).groupBy("digest").agg(F.count("*").alias("n"), F.max("key").alias("to")).filter((F.col("n") > 1) & F.col("to").isNotNull())
     many = scratch.save(many.select("digest", "to"), "repeated")
     if many.count() <= MAX_BROADCAST:
         many = F.broadcast(many)
     to = F.when(large & F.col("to").isNotNull() & ~F.col("key").eqNullSafe(F.col("to")), F.col("to"))
-    rows = rows.join(many, "digest", "left").select("key", "url", "payload", "digest", to.alias("to"))
+    rows = rows.join(many, "digest", "left").select(F.col("key").cast("string").alias("key"), "url", "payload", "digest", to.cast("string").alias("to"))
     folder = scratch.at("archives")
     kept = F.lit(folder)
 
@@ -130,6 +139,11 @@ def opened(folder: str, file: str):
     return fs.open_input_file(f"{root}/{file}")
 
 
+def spread(rows: DataFrame, *keys) -> DataFrame:
+    """A block a task, or some blocks where there are more than MAX_TASKS; a number that adaptive execution doesn't reduce."""
+    return rows.repartition(max(1, min(rows.count(), MAX_TASKS)), *keys)
+
+
 def head_at(f, at: int, size: int) -> tuple[dict[bytes, bytes], int, int] | None:
     """parse_head of a file's record, however long its head is."""
     window = HEAD
@@ -204,7 +218,7 @@ def link_blocks(manifest: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
                     n = len(links)
                     yield pa.RecordBatch.from_arrays([pa.array([folder] * n), pa.array([file] * n), pa.array(list(links)), pa.array(list(links.values())), pa.array([stop] * n), pa.array(list(counts.values()))], names=["folder", "file", "at", "to", "stop", "n"])
 
-    return blocks.repartition(F.col("file"), F.col("block")).mapInArrow(run, "folder string, file string, at bigint, to bigint, stop bigint, n bigint")
+    return spread(blocks, F.col("file"), F.col("block")).mapInArrow(run, "folder string, file string, at bigint, to bigint, stop bigint, n bigint")
 
 
 def reachable(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -235,7 +249,7 @@ def verify_counts(manifest: DataFrame, links: DataFrame, reached: DataFrame) ->
 
 def read_records(entries: DataFrame) -> DataFrame:
     """Walk the records from each entry to its block's end."""
-    schema = "key bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint"
+    schema = "key string, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,15 +272,15 @@ def read_records(entries: DataFrame) -> DataFrame:
                     yield table_of(rows)
 
     def table_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["key", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"])
 
-    return entries.select("folder", "file", "at", "stop").repartition(F.col("file"), F.col("at")).mapInArrow(run, schema)
+    return spread(entries.select("folder", "file", "at", "stop"), F.col("file"), F.col("at")).mapInArrow(run, schema)
 
 
-def urn(value: bytes | None) -> int | None:
-    found = re.fullmatch(rb"<" + URN.encode() + rb"(-?\d+)>", value or b"")
-    return int(found[1]) if found else None
+def urn(value: bytes | None) -> str | None:
+    found = re.fullmatch(rb"<" + URN.encode() + rb"is-([^>]*)>", value or b"")
+    return unquote(found[1].decode()) if found else None
 
 
 def parsed(fields: dict[bytes, bytes], body: bytes) -> tuple:
@@ -290,4 +304,5 @@ def round_trip(spark: SparkSession, pages: DataFrame, key: str = "page_id", url:
     links = scratch.save(link_blocks(manifest, block_bytes), "links")
     reached = reachable(scratch, links)
     verify_counts(manifest, links, reached)
-    return read_records(reached).withColumnRenamed("key", key)
+    kind = pages.schema[key].dataType
+    return read_records(reached).withColumns({"key": F.col("key").cast(kind), "refers_to": F.col("refers_to").cast(kind)}).withColumnRenamed("key", key)

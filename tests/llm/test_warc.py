@@ -62,7 +62,7 @@ def test_truncated_file_loses_only_its_end(spark, tmp_path):
     manifest = spark.createDataFrame([(str(tmp_path), "x.warc", len(data) - 20)], "folder string, file string, size bigint")
     scratch = Scratch(spark, "t")
     got = warc.read_records(warc.reachable(scratch, scratch.save(warc.link_blocks(manifest, 100), "links")))
-    assert sorted(r.key for r in got.collect()) == [0, 1, 2, 3]
+    assert sorted(r.key for r in got.collect()) == ["0", "1", "2", "3"]
 
 
 def test_empty_table(spark):
@@ -87,3 +87,9 @@ def test_missing_records_are_an_error(spark):
     warc.verify_counts(manifest, links, reached)
     with pytest.raises(ValueError, match="records were written"):
         warc.verify_counts(manifest.withColumn("records", F.col("records") + 1), links, reached)
+
+
+def test_keys_of_other_types(spark):
+    rows = [("a/b c", "u", "x" * 2000), ("é>", "u", "x" * 2000), (None, "u", "y")]
+    got = {r.page_id: r for r in warc.round_trip(spark, spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert set(got) == {"a/b c", "é>", None} and got["a/b c"].refers_to == "é>" and got["é>"].record_type == "response"
