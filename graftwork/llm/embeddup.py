@@ -20,13 +20,15 @@ with each other, so copies of one thing are counted without comparing them.
 
 Defined results: a vector that is null, zero, or holds a null or non-finite
 component links with nothing, as does one whose length isn't the table's
-commonest (the longer on a tie). Equal vectors are one class and are linked;
+commonest (the longer on a tie). Equal vectors, told by a 128-bit cryptographic
+digest of their unit vectors, are one class and are linked;
 repeated rows count as rows of their own. Ids order components (nulls last);
 other columns, labels among them, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -57,11 +59,11 @@ MARGIN = 0.01
 
 
 def unit_vectors(rows: DataFrame, vector: str, dim: int) -> DataFrame:
-    """(row, id, v, half): the unit vector in double and half precision, null where it has none."""
+    """(row, id, h, v, half): the unit vector in double and half precision with its digest, null where it has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            full, half = [], []
+            name, full, half = [], [], []
             for x in batch.column("x").to_pylist():
                 v = None
                 if x is not None and len(x) == dim and None not in x:
@@ -69,16 +71,18 @@ def unit_vectors(rows: DataFrame, vector: str, dim: int) -> DataFrame:
                     big = np.abs(v).max() if dim else 0.0
                     v = v / big if np.isfinite(big) and big > 0 else None
                 if v is None or not np.isfinite(v).all():
+                    name.append(None)
                     full.append(None)
                     half.append(None)
                     continue
                 v = v / math.sqrt(float(v @ v)) + 0.0  # no negative zeros, so that equal vectors have equal bytes
                 full.append(v.tobytes())
+                name.append(hashlib.blake2b(full[-1], digest_size=16).digest())
                 half.append(v.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(full, pa.binary()), pa.array(half, pa.binary())], names=["row", "id", "v", "half"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *(pa.array(c, pa.binary()) for c in (name, full, half))], names=["row", "id", "h", "v", "half"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"row bigint, id {kind}, v binary, half binary")
+    return rows.mapInArrow(run, f"row bigint, id {kind}, h binary, v binary, half binary")
 
 
 def stacked(column, dtype) -> np.ndarray:
@@ -340,8 +344,8 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     lengths = source.filter("x is not null").groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dim = lengths[0] if lengths else 0
     rows = scratch.save(unit_vectors(source, vector, dim), "rows")
-    classes = scratch.save(rows.filter("v is not null").groupBy("v").agg(F.min("row").alias("rep"), F.count("*").alias("mult")), "classes")
-    reps = scratch.save(classes.join(rows.select(F.col("row").alias("rep"), "half"), "rep"), "reps")
+    classes = scratch.save(rows.filter("h is not null").groupBy("h").agg(F.min("row").alias("rep"), F.count("*").alias("mult")), "classes")
+    reps = scratch.save(classes.select("rep", "mult").join(rows.select(F.col("row").alias("rep"), "v", "half"), "rep"), "reps")
 
     near = threshold - MARGIN
     graph = spark.createDataFrame([], "u bigint, v bigint, sim double")
@@ -362,9 +366,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     members = reps.join(roots, F.col("rep") == F.col("id")).select("rep", "root", "mult", "v")
     n, forest = counted(scratch, members, threshold)
     root = components(scratch, forest, "linked")
-    by_class = classes.select("v", "rep", "mult").join(n, "rep", "left").join(root, F.col("rep") == F.col("id"), "left")
-    by_class = by_class.select("v", F.coalesce("root", "rep").alias("comp"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    whole = rows.select("row", F.col("id").alias("key"), "v").join(by_class, "v", "left")
+    by_class = classes.select("h", "rep", "mult").join(n, "rep", "left").join(root, F.col("rep") == F.col("id"), "left")
+    by_class = by_class.select("h", F.coalesce("root", "rep").alias("comp"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    whole = rows.select("row", F.col("id").alias("key"), "h").join(by_class, "h", "left")
     whole = scratch.save(whole.select("row", "key", F.coalesce("comp", "row").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "members")
     scratch.keep("members")
     least = whole.groupBy("comp").agg(F.min("key").alias("component_id"))
