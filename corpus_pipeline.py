@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graftwork.llm import decontam, langid, linededup, neardup, packing
-from graftwork.llm.common import Scratch, table
+from graftwork.llm.common import Scratch, free_name, table
 from graftwork.llm.queries import vocabulary
 
 #: Cosine under which a text is in no learned language; that of unrelated vectors is around 0.04.
@@ -32,34 +32,40 @@ MAX_BROADCAST = 100_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = langid.fit_prototypes(docs)
-    told = langid.identify(docs, prototypes, pred="_gw_lang", score="_gw_score")
-    kept = (F.col("_gw_lang") != langid.UNKNOWN) & (F.col("_gw_score") >= MIN_COSINE)
+    lang, score = free_name(docs, "_gw_lang"), free_name(docs, "_gw_score")
+    told = langid.identify(docs, prototypes, pred=lang, score=score)
+    kept = (F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_COSINE)
     return told.filter(kept).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = linededup.dedup_lines(spark, docs, min_docs=10, keep="first", n_lines="_gw_lines", n_dropped="_gw_dropped")
-    emptied = (F.col("_gw_dropped") > 0) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "")
+    lines, dropped = free_name(docs, "_gw_lines"), free_name(docs, "_gw_dropped")
+    told = linededup.dedup_lines(spark, docs, min_docs=10, keep="first", n_lines=lines, n_dropped=dropped)
+    emptied = (F.col(dropped) > 0) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "")
     n_chars = {"n_chars": F.length("text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
     return told.filter(~F.coalesce(emptied, F.lit(False))).withColumns(n_chars).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(spark, docs, shingle=5, num=80, den=100)
-    first = found.filter("first").select(F.col("a").alias("_gw_a"), F.col("b").alias("_gw_b"))
-    named = docs.select("*", *(F.xxhash64(F.lit(s), "doc_id", "text").alias(x) for s, x in enumerate(("_gw_a", "_gw_b"))))
+    a, b, n = (free_name(docs, x) for x in ("_gw_a", "_gw_b", "_gw_nth"))
+    first = found.filter("first").select(F.col("a").alias(a), F.col("b").alias(b))
+    named = docs.select("*", *(F.xxhash64(F.lit(s), "doc_id", "text").alias(x) for s, x in enumerate((a, b))))
     # rows equal in id and text share the names; one of them stays
-    nth = F.row_number().over(Window.partitionBy("_gw_a", "_gw_b").orderBy(F.lit(0)))
-    return named.join(first, ["_gw_a", "_gw_b"], "left_semi").withColumn("_gw_nth", nth).filter("_gw_nth = 1").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(0)))
+    return named.join(first, [a, b], "left_semi").withColumn(n, nth).filter(F.col(n) == 1).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = docs.withColumn("_gw_row", F.xxhash64("doc_id", "text"))
-    found = decontam.tile_pairs(spark, named, table(spark, sf_dir, "benchmark"), row="_gw_row")
-    flagged = Scratch(spark, "decontaminate").save(found.select(F.col("row").alias("_gw_row")).distinct(), "flagged")
+    # two hashes name a row: with one, clean documents of a large corpus would meet a flagged one's
+    hashes = [F.lpad(F.hex(F.xxhash64(F.lit(s), "doc_id", "text")), 16, "0") for s in range(2)]
+    mark = free_name(docs, "_gw_row")
+    named = docs.withColumn(mark, F.concat(*hashes))
+    found = decontam.tile_pairs(spark, named, table(spark, sf_dir, "benchmark"), row=mark)
+    flagged = Scratch(spark, "decontaminate").save(found.select(F.col("row").alias(mark)).distinct(), "flagged")
     if flagged.count() <= MAX_BROADCAST:
         flagged = F.broadcast(flagged)
-    return named.join(flagged, "_gw_row", "left_anti").select(*docs.columns)
+    return named.join(flagged, mark, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
