@@ -2,10 +2,10 @@
 
 Call graphs have cycles, on which Spark's recursive CTE doesn't end; these are
 semi-naive loops. Each round joins only the new frontier with the edges and
-anti-joins what was seen. Every round's table is written to the shared folder;
-edges and seen nodes are also kept on the executors, partitioned and sorted by
-their key, so that a round shuffles what it has newly found and nothing else.
-An executor that is lost reads its share from the folder again.
+anti-joins what was seen. Every round's table is written to the shared folder.
+The edges are also kept on the executors, partitioned and sorted by their
+start, so that a round shuffles its frontier and the ids seen so far, and never
+the edges; an executor that is lost reads its share from the folder again.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graftwork.operators.staging import Rounds
 
 MAX_ROUNDS = 10_000
-#: Layers of seen nodes that a round meets before they are merged into one.
+#: Layers of seen nodes before they are written as one table.
 FANOUT = 8
 
 
@@ -30,41 +30,25 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, src:
     spark = edges.sparkSession
     stage = Rounds(spark, "reach")
     keys = [*by, node]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held: list[DataFrame] = []
-
-    def placed(df: DataFrame, *columns: str) -> DataFrame:
-        """Kept on the executors by its key, so that later rounds' joins find it in place; its file stands behind it."""
-        held.append(df.repartition(parts, *columns).sortWithinPartitions(*columns).persist())
-        return held[-1]
-
     steps = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("_from"), F.col(dst).alias("_to")).distinct()
-    steps = placed(stage.save(steps), "_from")
-    first = stage.save(roots.filter(F.col(node).isNotNull()).select(*keys).distinct())
-    layers, frontier = [first.withColumn("depth", F.lit(0))], placed(first, *keys)
-    seen, merged = [frontier], first
+    # kept on the executors by their start, so that no round shuffles them again; their file stands behind them
+    steps = stage.save(steps).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_from").sortWithinPartitions("_from").persist()
+    frontier = stage.save(roots.filter(F.col(node).isNotNull()).select(*keys).distinct())
+    layers, seen = [frontier.withColumn("depth", F.lit(0))], frontier
     for depth in range(1, MAX_ROUNDS):
         if max_depth is not None and depth > max_depth:
             break
         new = frontier.join(steps, frontier[node] == steps["_from"]).select(*by, F.col("_to").alias(node)).distinct()
-        for layer in seen:
-            new = new.join(layer, keys, "left_anti")
-        found = stage.save(new)
-        if found.isEmpty():
+        frontier = stage.save(new.join(seen, keys, "left_anti"))
+        if frontier.isEmpty():
             break
-        layers.append(found.withColumn("depth", F.lit(depth)))
-        merged, frontier = merged.unionByName(found), placed(found, *keys)
-        seen.append(frontier)
-        if len(seen) > FANOUT:
-            # one placed table instead of many: each round then meets a handful of sorted tables
-            merged = stage.save(merged)
-            old, seen = seen[:-1], [placed(merged, *keys)]
-            for layer in old:
-                layer.unpersist()
+        layers.append(frontier.withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(frontier)
+        if depth % FANOUT == 0:
+            seen = stage.save(seen)
     else:
         raise RuntimeError(f"the closure did not end in {MAX_ROUNDS} rounds")
-    for df in held:
-        df.unpersist()
+    steps.unpersist()
     out = layers[0]
     for layer in layers[1:]:
         out = out.unionByName(layer)
