@@ -6,7 +6,9 @@ documents and the first document that holds them; hashes that the compacted
 runs have already settled (they reached the threshold) are anti-joined away,
 the rest is written as one more sorted run. Runs are bucketed by hash and
 sorted in their buckets, all in the same way, so a batch meets a run by
-merging bucket with bucket: the run is not shuffled again. When a level has
+merging bucket with bucket: the run is not shuffled again. (With
+bucketed=False runs are plain sorted files, which a batch meets by a shuffle;
+writing them takes less of an executor's memory.) When a level has
 `fanout` runs they are merged into one run of the next level. In the end the
 runs are merged once and give the hashes over the threshold.
 
@@ -54,27 +56,35 @@ def line_hash(line: bytes) -> bytes:
 class LineRuns:
     """Sorted runs of (h, n, first) by level, bucketed tables in the shared folder."""
 
-    def __init__(self, scratch: Scratch, min_docs: int, fanout: int = 4):
-        self.scratch, self.min_docs, self.fanout = scratch, min_docs, fanout
+    def __init__(self, scratch: Scratch, min_docs: int, fanout: int = 4, bucketed: bool = True):
+        self.scratch, self.min_docs, self.fanout, self.bucketed = scratch, min_docs, fanout, bucketed
+        self.files: dict[str, DataFrame] = {}
         self.levels: list[list[str]] = []
         self.made = 0
         # as many buckets as a shuffle has partitions, so that what a batch shuffled is written bucket by bucket
         self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(self) -> list[DataFrame]:
-        return [self.scratch.spark.table(name) for level in self.levels for name in level]
+        return [self.run(name) for level in self.levels for name in level]
+
+    def run(self, name: str) -> DataFrame:
+        return self.scratch.spark.table(name) if self.bucketed else self.files[name]
 
     def _write(self, rows: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         name, self.made = f"run_{uuid.uuid4().hex}_{self.made}", self.made + 1
-        writer = rows.select("h", "n", "first").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h")
-        writer.option("path", self.scratch.at(name)).saveAsTable(name)
+        if self.bucketed:
+            writer = rows.select("h", "n", "first").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h")
+            writer.option("path", self.scratch.at(name)).saveAsTable(name)
+        else:
+            self.files[name] = self.scratch.save(rows.select("h", "n", "first").sortWithinPartitions("h"), name)
         self.levels[level].append(name)
 
     def drop(self, names: list[str]) -> None:
         for name in names:
-            self.scratch.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            if self.bucketed:
+                self.scratch.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.scratch.drop(*names)
 
     @staticmethod
@@ -97,7 +107,7 @@ class LineRuns:
 
     def compact(self, level: int) -> None:
         old = self.levels[level]
-        self._write(self._merged([self.scratch.spark.table(name) for name in old]), level + 1)
+        self._write(self._merged([self.run(name) for name in old]), level + 1)
         self.levels[level] = []
         self.drop(old)
 
@@ -161,6 +171,7 @@ def dedup_lines(
     text: str = "text",
     n_lines: str = "n_lines",
     n_dropped: str = "n_dropped",
+    bucketed: bool = True,
 ) -> DataFrame:
     """Drop lines whose key is in at least min_docs documents.
 
@@ -173,7 +184,7 @@ def dedup_lines(
     scratch = Scratch(spark, "lines")
     batch, n_batches = batch_of(docs, key, batches)
     lines = scratch.save(line_table(docs, key, text, batch, False), "lines", partition_by="batch")
-    runs = LineRuns(scratch, min_docs, fanout)
+    runs = LineRuns(scratch, min_docs, fanout, bucketed)
     for b in range(n_batches):
         runs.add(lines.filter(F.col("batch") == b))
     hot = scratch.save(runs.repeated(), "hot")
