@@ -42,7 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lines, dropped = free_name(docs, "_gw_lines"), free_name(docs, "_gw_dropped")
-    told = linededup.dedup_lines(spark, docs, min_docs=10, keep="first", n_lines=lines, n_dropped=dropped)
+    told = linededup.dedup_lines(spark, docs, min_docs=10, keep="first", n_lines=lines, n_dropped=dropped, bucketed=False)
     emptied = (F.col(dropped) > 0) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "")
     n_chars = {"n_chars": F.length("text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
     return told.filter(~F.coalesce(emptied, F.lit(False))).withColumns(n_chars).select(*docs.columns)
