@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graftwork.llm.common import Scratch
+from graftwork.llm.common import Scratch, released, values_of
 from graftwork.llm.shingles import WordHasher, grams
 
 WORD = re.compile(r"\w+")
@@ -201,7 +201,7 @@ def by_broadcast(spark: SparkSession, docs: DataFrame, tests: DataFrame, seed: i
         ids, known = items.value
         for batch in batches:
             index, which, found = [], [], []
-            for i, t in enumerate(batch.column("t").to_pylist()):
+            for i, t in enumerate(values_of(batch.column("t"))):
                 words = tokens(hasher, t)
                 for k in known.candidates(words) if len(words) else ():
                     index.append(i)
@@ -210,7 +210,7 @@ def by_broadcast(spark: SparkSession, docs: DataFrame, tests: DataFrame, seed: i
             own = batch.take(pa.array(index, pa.int64()))
             yield pa.RecordBatch.from_arrays([own.column("row"), own.column("id"), ids.take(pa.array(which, pa.int64())), *(pa.array([f[c] for f in found], pa.int64()) for c in range(3))], names=NAMES)
 
-    return docs.mapInArrow(run, pairs_schema(docs, tests))
+    return docs.mapInArrow(released(run), pairs_schema(docs, tests))
 
 
 def by_shuffle(scratch: Scratch, docs: DataFrame, items: DataFrame, seed: int, tile: int) -> DataFrame:
@@ -240,7 +240,7 @@ def by_shuffle(scratch: Scratch, docs: DataFrame, items: DataFrame, seed: int, t
             found = [judged(tokens(hasher, t), tokens(hasher, i), tile) for t, i in zip(batch.column("t").to_pylist(), batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "item_id")), *(pa.array([f[c] for f in found], pa.int64()) for c in range(3))], names=NAMES)
 
-    return both.mapInArrow(run, pairs_schema(docs, items))
+    return both.mapInArrow(released(run), pairs_schema(docs, items))
 
 
 def tile_pairs(spark: SparkSession, docs: DataFrame, items: DataFrame, seed: int = SEED, tile: int = TILE, coverage: float = COVERAGE, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", row: str | None = None, max_words: int = MAX_WORDS) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graftwork.llm.common import released, values_of
+
 DIM = 512
 SCALE = 1_000_000
 #: Vectors of grams kept by a worker; the table starts anew beyond this.
@@ -108,13 +110,13 @@ def fit_prototypes(docs: DataFrame, key: str = "doc_id", text: str = "text", lab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(), {}
         for batch in batches:
-            for lang, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, t in zip(*map(values_of, batch.columns)):
                 if (v := encoder.encode(t)) is not None:
                     sums[lang] = sums.get(lang, 0) + np.rint(v.astype(np.float64) * SCALE).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    parts = sample.mapInArrow(run, "lang string, v array<bigint>")
+    parts = sample.mapInArrow(released(run), "lang string, v array<bigint>")
     cells = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()
     out: dict[str, np.ndarray] = {}
     for r in cells:
@@ -133,7 +135,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
         encoder = Encoder()
         for batch in batches:
             langs, scores = [], []
-            for t in batch.column(text).to_pylist():
+            for t in values_of(batch.column(text)):
                 v = encoder.encode(t) if t is not None and matrix is not None else None
                 if v is None:
                     langs.append(UNKNOWN)
@@ -145,7 +147,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                 scores.append(min(1.0, max(0.0, float(cos[best]))))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
 
-    return docs.select(*(f.name for f in kept)).mapInArrow(run, schema)
+    return docs.select(*(f.name for f in kept)).mapInArrow(released(run), schema)
 
 
 def learnable(doc_id: Column) -> Column:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graftwork.llm.common import Scratch, free_name
+from graftwork.llm.common import Scratch, free_name, released, values_of
 
 #: Hashes over the threshold that every task may hold.
 MAX_HOT = 500_000
@@ -123,7 +123,7 @@ def line_table(docs: DataFrame, key: str, text: str, batch, with_rows: bool) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, hashes = [], []
-            for i, t in enumerate(batch.column("t").cast(pa.binary()).to_pylist()):
+            for i, t in enumerate(values_of(batch.column("t").cast(pa.binary()))):
                 own = {line_hash(x) for x in t.split(b"\n")} - {b""}
                 index += [i] * len(own)
                 hashes += own
@@ -140,7 +140,7 @@ def line_table(docs: DataFrame, key: str, text: str, batch, with_rows: bool) ->
     first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"))
     source = docs.select(first.alias("first"), batch.cast("int").alias("batch"), *(row_key(key, text) if with_rows else []), F.coalesce(text, F.lit("")).alias("t"))
     schema = T.StructType([*(f for f in source.schema.fields if f.name != "t"), T.StructField("h", T.BinaryType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def row_key(key: str, text: str) -> list:
@@ -198,7 +198,7 @@ def dedup_lines(
     def rewritten(batch: pa.RecordBatch, bad_of) -> pa.RecordBatch:
         """The batch with the lines left out whose hash is bad in their row."""
         texts, total, gone = [], [], []
-        for i, t in enumerate(batch.column(text).cast(pa.binary()).to_pylist()):
+        for i, t in enumerate(values_of(batch.column(text).cast(pa.binary()))):
             all_ = (t or b"").split(b"\n")
             bad = bad_of(i)
             left = [x for x in all_ if not bad(line_hash(x))] if bad else all_
@@ -226,7 +226,7 @@ def dedup_lines(
 
                 yield rewritten(batch, bad_of if known else lambda i: None)
 
-        return docs.select(*[f.name for f in kept]).mapInArrow(by_set, out)
+        return docs.select(*[f.name for f in kept]).mapInArrow(released(by_set), out)
 
     # the way beyond: at most MAX_BROADCAST hashes can each have more than this share of the lines
     often = hot.filter(F.col("n") > max(total // MAX_BROADCAST, 100_000)).select("h", F.col("first").alias("kept_by"))
@@ -245,4 +245,4 @@ def dedup_lines(
 
     names = [f.name for f in kept]
     named = docs.select(*names, *(x.alias(n) for x, n in zip((F.xxhash64(F.lit(s), F.col(key), F.col(text)) for s in range(2)), (a, b))))
-    return named.join(drop, [a, b], "left").select(*names, gone).mapInArrow(by_list, out)
+    return named.join(drop, [a, b], "left").select(*names, gone).mapInArrow(released(by_list), out)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftwork.llm.common import Scratch
+from graftwork.llm.common import Scratch, released, values_of
 from graftwork.llm.components import components, joined
 from graftwork.llm.shingles import MinHash, WordHasher, common, mix, shingle_set
 
@@ -93,7 +93,7 @@ def signed(docs: DataFrame, key: str, text: str, shingle: int, trees: int) -> Da
         hasher, minhash = WordHasher(), MinHash(PLACES)
         for batch in batches:
             n, h, first, sig = [], [], [], []
-            for t in batch.column("t").cast(pa.binary()).to_pylist():
+            for t in values_of(batch.column("t").cast(pa.binary())):
                 s = shingle_set(hasher, t, shingle)
                 n.append(len(s))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -104,7 +104,7 @@ def signed(docs: DataFrame, key: str, text: str, shingle: int, trees: int) -> Da
 
     roots = np.arange(trees * AT_ROOT) * PLACES // (trees * AT_ROOT)
     kind = dict(source.dtypes)["id"]
-    return source.mapInArrow(run, f"id {kind}, a bigint, b bigint, n bigint, h binary, first binary, sig binary")
+    return source.mapInArrow(released(run), f"id {kind}, a bigint, b bigint, n bigint, h binary, first binary, sig binary")
 
 
 def roots_of(reps: DataFrame, trees: int) -> DataFrame:
@@ -177,7 +177,7 @@ def candidates(rows: DataFrame, need: int, num: int, den: int, stars: bool) -> D
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["x", "y"])
 
     sent = rows.select("part", "side", "rep", "n", "comp", "sig")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(run, "x bigint, y bigint")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(released(run), "x bigint, y bigint")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -196,7 +196,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int
         part = None
         for batch in batches:
             xs, ys = [], []
-            for p, role, x, y, t in zip(*(batch.column(c).to_pylist() for c in ("part", "role", "x", "y")), batch.column("text").cast(pa.binary()).to_pylist()):
+            for p, role, x, y, t in zip(*(batch.column(c).to_pylist() for c in ("part", "role", "x", "y")), values_of(batch.column("text").cast(pa.binary()))):
                 s = shingle_set(hasher, t or b"", shingle)
                 if p != part:
                     part, heads_ = p, {}
@@ -209,7 +209,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int
                     ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["a", "b"])
 
-    return heads.unionByName(others).repartition("part").sortWithinPartitions("part", "role").mapInArrow(run, "a bigint, b bigint")
+    return heads.unionByName(others).repartition("part").sortWithinPartitions("part", "role").mapInArrow(released(run), "a bigint, b bigint")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import re
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftwork.llm.common import Scratch
+from graftwork.llm.common import Scratch, released, values_of
 
 CAPACITY = 2048
 END_ID = 0
 #: Distinct white-space-free chunks whose ids a worker remembers; beyond this it starts anew.
 MAX_CHUNKS = 400_000
 #: Characters of texts whose new chunks are encoded together.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 
 
 #: How a vocabulary has to cut texts for its chunks and words to be encoded apart.
@@ -78,8 +78,8 @@ class ChunkTokenizer:
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; new chunks of some megabytes of texts are looked at together."""
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text; new chunks of a megabyte of texts are looked at together."""
         if not self.in_chunks:
             for text in texts:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -217,7 +217,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str, text:
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             index, rows = [], []
-            for i, ids in enumerate(tok.encode(batch.column("t").to_pylist())):
+            for i, ids in enumerate(tok.encode(values_of(batch.column("t")))):
                 ids += end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
@@ -229,7 +229,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str, text:
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(index, pa.int64())), pa.array(numbers[:, 0], pa.int32()), *(pa.array(numbers[:, c].copy()) for c in range(1, 6))], names=["key", *names])
 
     kind = dict(source.dtypes)["key"]
-    return source.mapInArrow(run, f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, local bigint")
+    return source.mapInArrow(released(run), f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, local bigint")
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -95,3 +95,33 @@ def test_plan_is_bounded_by_lengths():
     patterns, total = packing.plan(counts)
     tokens = sum(n * c for n, c in counts.items())
     assert len(patterns) < 3 * 2048 and total < tokens / 2048 * 1.01
+
+
+def test_a_megabyte_of_texts_is_held_at_a_time():
+    pulled = 0
+
+    def texts():
+        nonlocal pulled
+        for i in range(3500):
+            pulled += 1
+            yield f"{i} word " * 100
+
+    assert next(packing.ChunkTokenizer(vocabulary()).encode(texts())) and pulled < 1500
+
+
+def test_a_task_gives_its_memory_back():
+    import psutil
+
+    from graftwork.llm.common import released
+
+    def run(batches):
+        held = [bytes(600) for _ in range(300_000)]
+        kept.append(bytes(600))  # lies behind them in the heap
+        yield from batches
+        held.clear()
+
+    kept, whole, used = [], psutil.Process().memory_info, []
+    for batch in released(run)(iter(["batch"])):
+        assert batch == "batch"
+        used.append(whole().rss)
+    assert whole().rss < used[0] - (100 << 20)
