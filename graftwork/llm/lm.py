@@ -131,6 +131,13 @@ def ending(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
 
 
+def endings(words_: list[bytes]) -> np.ndarray:
+    """The ending of each word; each run of last letters is hashed once."""
+    last = [w[-3:] for w in words_]
+    known = {x: ending(x) for x in set(last)}
+    return np.fromiter(map(known.__getitem__, last), dtype=np.int64, count=len(last))
+
+
 def neighbour_counts(texts: DataFrame) -> np.ndarray:
     """How often each ending follows each, over all training texts."""
 
@@ -205,11 +212,10 @@ def write_dictionaries(counts: DataFrame, folder: str, classes: np.ndarray) -> n
                     raise
                 fs.delete_file(temp)
             stats = np.zeros(2 + CLASSES)
-            for word, n, c, first in zip(*(g.column(x).to_pylist() for x in ("word", "n", "c", "first"))):
-                stats[0] += n
-                if first and c:
-                    stats[1] += 1
-                    stats[2 + classes[ending(word)]] += mass(c)
+            stats[0] = g.column("n").to_numpy().sum()
+            new = g.select(["word", "c"]).filter(pa.compute.and_(g.column("first"), pa.compute.greater(g.column("c"), 0)))
+            stats[1] = new.num_rows
+            stats[2:] = np.bincount(classes[endings(new.column("word").to_pylist())], weights=mass(new.column("c").to_numpy()), minlength=CLASSES)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(stats))), pa.array(stats)], names=["i", "x"])
 
     import pyarrow.compute  # noqa: F401
@@ -243,9 +249,9 @@ class Vocabulary:
         self.chunk = chunk
         known = table.column("word").to_pylist()
         # first the mark between texts, which counts as their end
-        self.at = {b"": 0} | {w: i for i, w in enumerate(known, 1)}
+        self.at = dict(zip([b"", *known], range(len(known) + 1)))
         self.count = np.concatenate([[0], table.column("c").to_numpy()]).astype(np.int64)
-        self.kind = np.array([END, *(int(self.classes[ending(w)]) for w in known)], dtype=np.int64)
+        self.kind = np.concatenate([[END], self.classes[endings(known)]])
         self.hash = np.array([0, *map(xxhash.xxh3_64_intdigest, known)], dtype=np.uint64)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +279,7 @@ class Vocabulary:
         for w in new:
             self.at[w] = len(self.at)
         self.count = np.concatenate([self.count, np.zeros(len(new), dtype=np.int64)])
-        self.kind = np.concatenate([self.kind, np.array([int(self.classes[ending(w)]) for w in new], dtype=np.int64)])
+        self.kind = np.concatenate([self.kind, self.classes[endings(list(new))]])
         self.hash = np.concatenate([self.hash, np.array([xxhash.xxh3_64_intdigest(w) for w in new], dtype=np.uint64)])
 
 
@@ -288,9 +294,11 @@ def features(kind: np.ndarray, hashed: np.ndarray, at: np.ndarray) -> np.ndarray
 
 def class_scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The exponent of each class at each position, at most zero; not yet normalised."""
-    z = np.take(weights, rows[:, 0], axis=0)
+    # no row lies outside; without the test for it a gather takes a fraction of the time
+    z = np.take(weights, rows[:, 0], axis=0, mode="clip")
+    more = np.empty_like(z)
     for j in range(1, FEATURES):
-        z += np.take(weights, rows[:, j], axis=0)
+        z += np.take(weights, rows[:, j], axis=0, mode="clip", out=more)
     z += bias
     z -= z.max(axis=1, keepdims=True)
     return z
@@ -303,6 +311,11 @@ def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, targets:
     return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
+def sums_between(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of float32 rows from each cut to the next; as complex numbers two columns are added at once."""
+    return np.add.reduceat(rows.view(np.complex64), cuts, axis=0).view(np.float32)
+
+
 class Trainer:
     """Adagrad steps on one task's texts, with one rate for each weight row."""
 
@@ -339,7 +352,7 @@ class Trainer:
             own = rows[order, j]
             cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             at = own[cuts]
-            total = np.add.reduceat(g[order], cuts, axis=0)
+            total = sums_between(np.take(g, order, axis=0, mode="clip"), cuts)
             self.square[at] += np.einsum("ij,ij->i", total, total)
             total *= (RATE / np.sqrt(self.square[at]))[:, None]
             self.weights[at] -= total

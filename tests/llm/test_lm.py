@@ -57,3 +57,29 @@ def test_chunks_split_without_changing_counts(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert lm.score_texts(spark, data.docs(spark, [])).count() == 0
+
+
+def test_each_ending_is_hashed_once(monkeypatch):
+    calls, plain = [], lm.ending
+    monkeypatch.setattr(lm, "ending", lambda w: calls.append(w) or plain(w))
+    v = lm.Vocabulary("", np.arange(lm.ENDINGS) % lm.CLASSES)
+    v.at, v.count, v.kind, v.hash = {b"": 0}, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint64)
+    v._learn({b"walking", b"talking", b"king", b"a"})
+    assert len(calls) == 2 and all(v.kind[i] == (plain(w) % lm.CLASSES if w else 0) for w, i in v.at.items())
+
+
+def test_a_step_adds_the_gradients_of_each_row():
+    rng = np.random.default_rng(4)
+    rows, targets = np.asfortranarray(rng.integers(0, 9, (500, lm.FEATURES)).astype(np.uint16)), rng.integers(0, lm.CLASSES, 500)
+    start, bias = rng.standard_normal((lm.ROWS, lm.CLASSES)).astype(np.float32), np.zeros(lm.CLASSES, dtype=np.float32)
+    t = lm.Trainer(start, bias)
+    t.step(rows, targets)
+    z = start[rows].astype(np.float64).sum(axis=1)
+    g = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True) - np.eye(lm.CLASSES)[targets]
+    want, square = start.astype(np.float64), np.full(lm.ROWS, 0.1)
+    for j in range(lm.FEATURES):
+        total = np.zeros(start.shape)
+        np.add.at(total, rows[:, j], g)
+        square += (total**2).sum(axis=1)
+        want -= lm.RATE / np.sqrt(square)[:, None] * total
+    assert np.allclose(t.weights, want, atol=1e-4) and t.met.sum() == rows.size
