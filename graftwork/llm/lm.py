@@ -8,9 +8,12 @@ class softmax has hashed features of the history: the last word, the word before
 (a skip), and the last three classes.
 Inside a class a word has its share of the training counts.
 
-Data go in chunks of some 32 MB of text. Each chunk's distinct words meet the
-corpus counts in two shuffles and come back as one dictionary file a chunk, so
-a task holds the words of its own chunk, however large the vocabulary.
+Data go in chunks of some 32 MB of text. One pass splits the texts: each
+becomes its words' numbers in the chunk, and the words go to a file beside it.
+Each chunk's distinct words meet the corpus counts in two shuffles, and the
+counts come back by number as one file a chunk. So a task holds the words of
+its own chunk, however large the vocabulary, and every later pass reads
+numbers alone.
 Training makes one pass over all training texts in `ROUNDS` rounds: tasks take
 gradient steps from the shared weights, and the changes are averaged, row by
 row, by how often each feature was met. Scoring gathers the few feature rows
@@ -28,8 +31,8 @@ whole; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +44,11 @@ from pyspark.sql import functions as F
 
 from graftwork.llm.common import Scratch, held_out
 from graftwork.llm.neardup import groups
-from graftwork.llm.shingles import mix, words
+from graftwork.llm.shingles import mix
 
 CHUNK_BYTES = 32 << 20
+PIECE_BYTES = 4 << 20
+SPACE = re.compile(rb"[\x09-\x0D\x20]")
 ENDINGS = 512
 CLASSES = 32
 END, UNKNOWN, FIRST = 0, 1, 2
@@ -55,76 +60,153 @@ ROUNDS = 2
 RATE = 0.15
 
 
-def chunked(docs: DataFrame, key: str, text: str, folds: int, fold: int) -> DataFrame:
-    """(chunk, id, held, text), a chunk being a stretch of a task's rows."""
+def split(data: memoryview, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words, words in each text) of texts, given the place where each begins: A-Z lower-cased, split at ASCII white space."""
+    d = np.frombuffer(bytes(data).lower(), dtype=np.uint8)
+    word = (d != 0x20) & (d - np.uint8(9) > 4)
+    # a word begins after a space or where a text does, and ends likewise
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    inner = starts[(starts > 0) & (starts < len(d))]
+    begins[inner] = word[inner]
+    ends[inner - 1] = word[inner - 1]
+    first = np.flatnonzero(begins)
+    offsets = np.zeros(len(first) + 1, dtype=np.int32)
+    np.cumsum(np.flatnonzero(ends) + 1 - first, out=offsets[1:])
+    n = np.diff(np.searchsorted(first, np.append(starts, len(d))))
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(d[word])]), n
+
+
+def pieces(data: memoryview, size: int) -> Iterator[memoryview]:
+    """A long text in pieces of some size that end before a space."""
+    at = 0
+    while at < len(data):
+        stop = at + size
+        if stop < len(data):
+            space = SPACE.search(data, stop)
+            stop = space.start() if space else len(data)
+        yield data[at:stop]
+        at = stop
+
+
+def stretches(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Rows from a to b of some size together, from the running ends of their sizes; a larger row comes alone."""
+    a = 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + size, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def buffers(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """(running ends of the values, from 0, and the bytes of all) of a column without nulls."""
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64, count=column.offset + len(column) + 1)[column.offset :] if len(column) else np.zeros(1, dtype=np.int64)
+    return ends - ends[0], memoryview(data if data is not None else b"")[int(ends[0]) : int(ends[-1])]
+
+
+def numbered(docs: DataFrame, key: str, text: str, folds: int, fold: int, folder: str) -> DataFrame:
+    """(chunk, id, held, words): the word numbers of each text as 32-bit integers, a chunk being a stretch of a task's rows.
+
+    A chunk has a name of its own in every attempt of a task, so the rows that
+    are kept name the files that were written with them.
+    """
     source = docs.select(F.col(key).alias("id"), held_out(F.col(key), folds, fold).alias("held"), F.coalesce(text, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        at = TaskContext.get().partitionId() << 32
-        size = 0
+        writer = None
         for batch in batches:
-            chunk = []
-            for n in pa.compute.binary_length(batch.column("text")).to_pylist():
-                if size > CHUNK_BYTES:
-                    at, size = at + 1, 0
-                size += n
-                chunk.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), *batch.columns], names=["chunk", "id", "held", "text"])
-
-    import pyarrow.compute  # noqa: F401
-
-    return source.mapInArrow(run, f"chunk bigint, id {dict(source.dtypes)['id']}, held boolean, text string")
-
-
-def stretches(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Texts in order, some megabyte at a time; a longer text comes alone."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t)
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
-def by_chunk(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(chunk, first row, texts) of stretches of a batch's rows."""
-    chunks = batch.column("chunk").to_numpy()
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
-    cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
-    for a, b in zip(cuts, cuts[1:]):
-        for part in stretches(texts[a:b]):
-            yield int(chunks[a]), a, part
-            a += len(part)
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(chunk, word, n): each distinct word of each chunk, with its training tokens there."""
+            ends, data = buffers(batch.column("text"))
+            held = batch.column("held").to_numpy(zero_copy_only=False)
+            for a, b in stretches(ends, min(PIECE_BYTES, CHUNK_BYTES)):
+                if writer is None or writer.size > CHUNK_BYTES:
+                    if writer is not None:
+                        writer.close()
+                    writer = ChunkWriter(folder)
+                i, n = writer.add(data[ends[a] : ends[b]], ends[a:b] - ends[a], held[a:b])
+                at = pa.py_buffer(np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int32))
+                numbers = pa.Array.from_buffers(pa.binary(), b - a, [None, at, pa.py_buffer(i)])
+                yield pa.RecordBatch.from_arrays([pa.array([writer.chunk] * (b - a), pa.int64()), batch.column("id").slice(a, b - a), batch.column("held").slice(a, b - a), numbers], names=["chunk", "id", "held", "words"])
+        if writer is not None:
+            writer.close()
+
+    return source.mapInArrow(run, f"chunk bigint, id {dict(source.dtypes)['id']}, held boolean, words binary")
+
+
+class ChunkWriter:
+    """Numbers the words of one chunk; its files tell the words, their training tokens and how often each ending follows each."""
+
+    def __init__(self, folder: str):
+        self.folder, self.chunk, self.size = folder, uuid.uuid4().int >> 65, 0
+        self.words = Vocabulary(folder, np.arange(ENDINGS))
+        # first the mark between texts, a word that no text holds
+        self.words.at = {b"": 0}
+        self.words.count, self.words.kind, self.words.hash = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint64)
+        self.follows = np.zeros(ENDINGS * ENDINGS, dtype=np.int64)
+
+    def add(self, data: memoryview, starts: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, words in each text)"""
+        self.size += len(data)
+        if len(starts) == 1:
+            i = np.concatenate([np.zeros(0, dtype=np.int32), *(self._numbers(split(p, starts[:1])[0]) for p in pieces(data, PIECE_BYTES))])
+            n = np.array([len(i)])
+        else:
+            ws, n = split(data, starts)
+            i = self._numbers(ws)
+        training = np.repeat(~held, n)
+        self.words.count += np.bincount(i[training], minlength=len(self.words.count))
+        opens = np.cumsum(n) - n
+        training[opens[n > 0]] = False
+        e = self.words.kind[i]
+        pair = np.flatnonzero(training)
+        self.follows += np.bincount(e[pair - 1] * ENDINGS + e[pair], minlength=len(self.follows))
+        return i, n
+
+    def _numbers(self, ws: pa.Array) -> np.ndarray:
+        coded = ws.dictionary_encode()
+        return self.words.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+
+    def close(self) -> None:
+        v = self.words
+        write(self.folder, f"words/{self.chunk}", {"word": pa.array(list(v.at), pa.binary()), "n": pa.array(v.count)})
+        write(self.folder, f"marks/{self.chunk}", {"ending": pa.array(v.kind.astype(np.int16)), "hash": pa.array(v.hash)})
+        at = np.flatnonzero(self.follows)
+        write(self.folder, f"follows/{self.chunk}", {"cell": pa.array(at), "n": pa.array(self.follows[at])})
+
+
+def write(folder: str, name: str, columns: dict[str, pa.Array]) -> None:
+    fs, root = place(folder)
+    fs.create_dir(f"{root}/{name.rpartition('/')[0]}", recursive=True)
+    table = pa.table(columns)
+    with fs.open_output_stream(f"{root}/{name}") as f, pa.ipc.new_stream(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table, max_chunksize=50_000)
+
+
+def read(folder: str, name: str) -> pa.Table:
+    fs, root = place(folder)
+    with fs.open_input_stream(f"{root}/{name}") as f:
+        return pa.ipc.open_stream(f).read_all()
+
+
+def one_task_each(spark: SparkSession, chunks: list[int]) -> DataFrame:
+    """(id): the places in the list of chunks."""
+    return spark.range(0, len(chunks), 1, max(len(chunks), 1))
+
+
+def word_counts(spark: SparkSession, chunks: list[int], folder: str) -> DataFrame:
+    """(place, word, n): each distinct word of each chunk, with its training tokens there; the place tells chunk and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, counts, others = None, Counter(), set()
         for batch in batches:
-            for c, held, t in zip(batch.column("chunk").to_pylist(), batch.column("held").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                if c != chunk:
-                    yield from made(chunk, counts, others)
-                    chunk, counts, others = c, Counter(), set()
-                (others.update if held else counts.update)(words(t))
-        yield from made(chunk, counts, others)
-
-    def made(chunk, counts: Counter, others: set) -> Iterator[pa.RecordBatch]:
-        if chunk is None:
-            return
-        # the empty word, which no text holds, gives every chunk a dictionary
-        rows = [(b"", 0), *counts.items(), *((w, 0) for w in others if w not in counts)]
-        for at in range(0, len(rows), 50_000):
-            part = rows[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["chunk", "word", "n"])
+            for at in batch.column("id").to_pylist():
+                first = at << 32
+                for part in read(folder, f"words/{chunks[at]}").to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + part.num_rows)), part.column("word"), part.column("n")], names=["place", "word", "n"])
+                    first += part.num_rows
 
-    return texts.select("chunk", "held", "text").mapInArrow(run, "chunk bigint, word binary, n bigint")
+    return one_task_each(spark, chunks).mapInArrow(run, "place bigint, word binary, n bigint")
 
 
 def ending(word: bytes) -> int:
@@ -138,31 +220,20 @@ def endings(words_: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, last), dtype=np.int64, count=len(last))
 
 
-def neighbour_counts(texts: DataFrame) -> np.ndarray:
+def neighbour_counts(spark: SparkSession, chunks: list[int], folder: str) -> np.ndarray:
     """How often each ending follows each, over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(ENDINGS * ENDINGS, dtype=np.int64), {b"": -1}
+        total = np.zeros(ENDINGS * ENDINGS, dtype=np.int64)
         for batch in batches:
-            kept = batch.filter(pa.compute.invert(batch.column("held"))).column("text").cast(pa.binary()).to_pylist()
-            for texts_ in stretches(kept):
-                ends: list[bytes] = []
-                for t in texts_:
-                    ends += [w[-3:] for w in words(t)]
-                    ends.append(b"")
-                if len(known) > 300_000:
-                    known = {b"": -1}
-                for w in set(ends).difference(known):
-                    known[w] = ending(w)
-                e = np.fromiter(map(known.__getitem__, ends), dtype=np.int64, count=len(ends))
-                pair = (e[:-1] >= 0) & (e[1:] >= 0)
-                total += np.bincount(e[:-1][pair] * ENDINGS + e[1:][pair], minlength=len(total))
+            for at in batch.column("id").to_pylist():
+                cells = read(folder, f"follows/{chunks[at]}")
+                total[cells.column("cell").to_numpy()] += cells.column("n").to_numpy()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    import pyarrow.compute  # noqa: F401
-
-    cells = texts.select("held", "text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    few = one_task_each(spark, chunks).coalesce(4 * spark.sparkContext.defaultParallelism)
+    cells = few.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     got = cells.toPandas()  # at most ENDINGS^2 cells
     out = np.zeros(ENDINGS * ENDINGS)
     out[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
@@ -189,40 +260,39 @@ def place(folder: str):
     return fs, root
 
 
-def write_dictionaries(counts: DataFrame, folder: str, classes: np.ndarray) -> np.ndarray:
+def write_counts(counts: DataFrame, chunks: list[int], folder: str, classes: np.ndarray) -> np.ndarray:
     """One file a chunk with its words' corpus counts; returns (tokens, distinct words, then the mass of each class).
 
-    Words with a zero count aren't kept. A file's content is the same whichever
-    attempt of its task wrote it, and it is moved into place whole.
+    A file's content is the same whichever attempt of its task wrote it, and it
+    is moved into place whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = place(folder)
-        fs.create_dir(root, recursive=True)
         for g in groups(batches, "chunk"):
-            chunk = g.column("chunk")[0].as_py()
-            kept = g.select(["word", "c"]).filter(pa.compute.greater(g.column("c"), 0))
-            temp = f"{root}/{chunk}-{uuid.uuid4().hex}"
-            with fs.open_output_stream(temp) as f, pa.ipc.new_stream(f, kept.schema) as w:
-                w.write_table(kept)
+            chunk = chunks[g.column("chunk")[0].as_py()]
+            ends = read(folder, f"marks/{chunk}").column("ending").to_numpy()
+            number, c = g.column("number").to_numpy(), g.column("c").to_numpy()
+            all_counts = np.zeros(len(ends), dtype=np.int64)
+            all_counts[number] = c
+            temp = f"counts/{chunk}-{uuid.uuid4().hex}"
+            write(folder, temp, {"c": pa.array(all_counts)})
             try:
-                fs.move(temp, f"{root}/{chunk}.arrow")
+                fs.move(f"{root}/{temp}", f"{root}/counts/{chunk}")
             except OSError:  # some file systems don't replace what another attempt wrote
-                if fs.get_file_info(f"{root}/{chunk}.arrow").type != pafs.FileType.File:
+                if fs.get_file_info(f"{root}/counts/{chunk}").type != pafs.FileType.File:
                     raise
-                fs.delete_file(temp)
+                fs.delete_file(f"{root}/{temp}")
+            new = g.column("first").to_numpy() & (c > 0)
             stats = np.zeros(2 + CLASSES)
-            stats[0] = g.column("n").to_numpy().sum()
-            new = g.select(["word", "c"]).filter(pa.compute.and_(g.column("first"), pa.compute.greater(g.column("c"), 0)))
-            stats[1] = new.num_rows
-            stats[2:] = np.bincount(classes[endings(new.column("word").to_pylist())], weights=mass(new.column("c").to_numpy()), minlength=CLASSES)
+            stats[0], stats[1] = c[new].sum(), new.sum()
+            stats[2:] = np.bincount(classes[ends[number[new]]], weights=mass(c[new]), minlength=CLASSES)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(stats))), pa.array(stats)], names=["i", "x"])
 
-    import pyarrow.compute  # noqa: F401
-    import pyarrow.ipc  # noqa: F401
-
-    spread = counts.selectExpr("chunk", "word", "n", "sum(n) OVER (PARTITION BY word) AS c", "row_number() OVER (PARTITION BY word ORDER BY chunk) = 1 AS first")
-    rows = spread.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "i bigint, x double")
+    spread = counts.selectExpr("place", "sum(n) OVER (PARTITION BY word) AS c", "min(place) OVER (PARTITION BY word) = place AS first")
+    spread = spread.selectExpr("CAST(place >> 32 AS INT) AS chunk", "CAST(place & 4294967295 AS INT) AS number", "c", "first")
+    # the mark, which no text holds, gives every chunk a file
+    rows = spread.filter("c > 0 OR number = 0").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "i bigint, x double")
     out = np.zeros(2 + CLASSES)
     for i, x in rows.groupBy("i").agg(F.sum("x")).collect():
         out[i] = x
@@ -235,7 +305,7 @@ def mass(c):
 
 
 class Vocabulary:
-    """The words of one chunk: corpus count, class, hash."""
+    """The words of one chunk by number: count, class, hash."""
 
     def __init__(self, folder: str, classes: np.ndarray):
         self.folder, self.classes, self.chunk = folder, classes, None
@@ -243,39 +313,19 @@ class Vocabulary:
     def open(self, chunk: int) -> None:
         if chunk == self.chunk:
             return
-        fs, root = place(self.folder)
-        with fs.open_input_stream(f"{root}/{chunk}.arrow") as f:
-            table = pa.ipc.open_stream(f).read_all()
+        marks = read(self.folder, f"marks/{chunk}")
         self.chunk = chunk
-        known = table.column("word").to_pylist()
-        # first the mark between texts, which counts as their end
-        self.at = dict(zip([b"", *known], range(len(known) + 1)))
-        self.count = np.concatenate([[0], table.column("c").to_numpy()]).astype(np.int64)
-        self.kind = np.concatenate([[END], self.classes[endings(known)]])
-        self.hash = np.array([0, *map(xxhash.xxh3_64_intdigest, known)], dtype=np.uint64)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word number of each position, places to predict, words in each text) of texts with three marks before each."""
-        ws: list[bytes] = []
-        sizes = []
-        for t in texts:
-            own = words(t)
-            ws += (b"", b"", b"")
-            ws += own
-            sizes.append(len(own))
-        ws.append(b"")
-        try:
-            i = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
-        except KeyError:
-            self._learn(set(ws).difference(self.at))
-            i = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
-        n = np.array(sizes)
-        first = np.cumsum(n + 3) - n
-        places = np.arange((n + 1).sum()) + np.repeat(first - (np.cumsum(n + 1) - (n + 1)), n + 1)
-        return i, places, n
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Words that the training texts don't hold."""
+        self.count = read(self.folder, f"counts/{chunk}").column("c").to_numpy()
+        self.kind = self.classes[marks.column("ending").to_numpy()]
+        self.kind[0] = END
+        self.hash = marks.column("hash").to_numpy()
+
+    def numbers(self, distinct: list[bytes]) -> np.ndarray:
+        """The number of each word; those not met before get the next ones."""
+        self._learn([w for w in distinct if w not in self.at])
+        return np.fromiter(map(self.at.__getitem__, distinct), dtype=np.int32, count=len(distinct))
+
+    def _learn(self, new: list[bytes]) -> None:
         for w in new:
             self.at[w] = len(self.at)
         self.count = np.concatenate([self.count, np.zeros(len(new), dtype=np.int64)])
@@ -283,6 +333,25 @@ class Vocabulary:
         self.hash = np.concatenate([self.hash, np.array([xxhash.xxh3_64_intdigest(w) for w in new], dtype=np.uint64)])
 
 
+def positions(i: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word number of each position, places to predict) of texts with three marks before each."""
+    out = np.zeros(len(i) + 3 * len(n) + 1, dtype=np.int64)
+    out[np.arange(len(i)) + np.repeat(np.arange(3, 3 * len(n) + 1, 3), n)] = i
+    first = np.cumsum(n + 3) - n
+    return out, np.arange((n + 1).sum()) + np.repeat(first - (np.cumsum(n + 1) - (n + 1)), n + 1)
+
+
+def by_chunk(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(chunk, word numbers, words in each text) of stretches of a batch's rows."""
+    chunks = batch.column("chunk").to_numpy()
+    cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+    ends, data = buffers(batch.column("words"))
+    for a, b in zip(cuts, cuts[1:]):
+        for c, d in stretches(ends[a : b + 1], 1 << 19):
+            own = ends[a + c : a + d + 1]
+            yield int(chunks[a]), np.frombuffer(data[own[0] : own[-1]], dtype=np.int32), np.diff(own) // 4
+
+
 def features(kind: np.ndarray, hashed: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The weight rows of each place, from the words before it."""
     out = np.empty((len(at), FEATURES), dtype=np.uint16, order="F")
@@ -367,9 +436,9 @@ def train_round(spark: SparkSession, texts: DataFrame, vocabulary: Vocabulary, w
         w, b, v = shared.value
         trainer = Trainer(w, b)
         for batch in batches:
-            for chunk, _, part in by_chunk(batch):
+            for chunk, numbers, n in by_chunk(batch):
                 v.open(chunk)
-                i, at, _ = v.encode(part)
+                i, at = positions(numbers, n)
                 kind = v.kind[i]
                 trainer.add(features(kind, v.hash[i], at), np.where((v.count[i] > 1) | (i == 0), kind, UNKNOWN)[at])
         trainer.finish()
@@ -385,7 +454,7 @@ def train_round(spark: SparkSession, texts: DataFrame, vocabulary: Vocabulary, w
             mean = (change * met[:, None]).sum(axis=0) / met.sum()
             yield pa.RecordBatch.from_arrays([g.column("row")[:1].combine_chunks(), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["row", "change"])
 
-    made = texts.select("chunk", "text").mapInArrow(run, "row bigint, met bigint, change binary")
+    made = texts.select("chunk", "words").mapInArrow(run, "row bigint, met bigint, change binary")
     means = made.repartition("row").sortWithinPartitions("row").mapInArrow(average, "row bigint, change binary")
     out = weights.copy()
     for row, change in means.collect():  # at most ROWS rows, the size of the model
@@ -397,11 +466,13 @@ def train_round(spark: SparkSession, texts: DataFrame, vocabulary: Vocabulary, w
 def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, fold: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     scratch = Scratch(spark, "lm")
-    texts = scratch.save(chunked(docs, key, text, folds, fold), "texts")
-    training = texts.filter("not held")
-    classes = classes_of(neighbour_counts(texts))
     folder = scratch.at("dictionaries")
-    stats = write_dictionaries(word_counts(texts), folder, classes)
+    texts = scratch.save(numbered(docs, key, text, folds, fold, folder), "texts")
+    training = texts.filter("not held")
+    chunks = [r.chunk for r in texts.select("chunk").distinct().collect()]
+    classes = classes_of(neighbour_counts(spark, chunks, folder))
+    stats = write_counts(word_counts(spark, chunks, folder), chunks, folder, classes)
+    scratch.drop("dictionaries/words", "dictionaries/follows")
     ends = training.count()
     n_train, v_train = int(stats[0]) + ends, int(stats[1]) + (1 if ends else 0)
     masses = stats[2:]
@@ -421,9 +492,9 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, fold: int
         in_class = np.log10(np.maximum(mass_, 1e-300))
         for batch in batches:
             out = []
-            for chunk, _, part in by_chunk(batch):
+            for chunk, numbers, n in by_chunk(batch):
                 vocab.open(chunk)
-                i, at, n = vocab.encode(part)
+                i, at = positions(numbers, n)
                 kind, end = vocab.kind[i], i[at] == 0
                 rows, count = features(kind, vocab.hash[i], at), np.where(end, ends, vocab.count[i[at]])
                 known = (count > 0) & ~end

@@ -83,3 +83,33 @@ def test_a_step_adds_the_gradients_of_each_row():
         square += (total**2).sum(axis=1)
         want -= lm.RATE / np.sqrt(square)[:, None] * total
     assert np.allclose(t.weights, want, atol=1e-4) and t.met.sum() == rows.size
+
+
+def test_texts_are_split_in_one_pass(spark):
+    got = lm.score_texts(spark, data.docs(spark))
+    later = spark.read.parquet(*got.inputFiles())
+    assert "text" not in later.columns and dict(later.dtypes)["words"] == "binary" and got.count() == len(data.awkward())
+
+
+def test_split_and_numbers_give_back_the_words(tmp_path, monkeypatch):
+    rng = random.Random(3)
+    # controls and bytes that other splitters take for space, in and out of letters
+    some = lambda n: bytes(rng.choice(b"aAzZ b\t\n\x0b\x0c\r\x00\x1c\x1f\x85\xa0\xc3\xa9") for _ in range(n))
+    texts = [b"", b"  ", b"One", some(1), b"", *(some(rng.randint(0, 40)) for _ in range(300)), b" end", b""]
+    ends = np.cumsum([0, *map(len, texts)])
+    ws, n = lm.split(memoryview(b"".join(texts)), ends[:-1])
+    assert ws.to_pylist() == [w for t in texts for w in t.lower().split()] and n.tolist() == [len(t.split()) for t in texts]
+    monkeypatch.setattr(lm, "PIECE_BYTES", 7)
+    for t in [*texts[:20], b"no_space" * 9, b"one two  three " * 30]:
+        writer = lm.ChunkWriter(str(tmp_path))
+        i, n = writer.add(memoryview(t), np.zeros(1, dtype=np.int64), np.array([False]))
+        back, want = list(writer.words.at), t.lower().split()
+        assert [back[x] for x in i] == want and n.tolist() == [len(want)] and writer.words.count.sum() == len(want)
+        assert writer.follows.sum() == max(len(want) - 1, 0) and all(writer.follows[lm.ending(a) * lm.ENDINGS + lm.ending(b)] for a, b in zip(want, want[1:]))
+
+
+def test_endings_follow_only_inside_training_texts(tmp_path):
+    writer = lm.ChunkWriter(str(tmp_path))
+    writer.add(memoryview(b"aa bbcc dd ee"), np.array([0, 5, 5]), np.array([False, False, True]))
+    assert np.flatnonzero(writer.follows).tolist() == [lm.ending(b"aa") * lm.ENDINGS + lm.ending(b"bb")]
+    assert dict(zip(writer.words.at, writer.words.count.tolist())) == {b"": 0, b"aa": 1, b"bb": 1, b"cc": 0, b"dd": 0, b"ee": 0}
