@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores: a small file of many rows is one task's, however much work a row is."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 class Rounds:
     """Writes each round's table, so that plans stay short and a lost executor costs a reread."""
 

@@ -145,15 +145,16 @@ def crawl(files: DataFrame, entries: DataFrame, public_only: bool = False) -> Da
     """(path, module_path, number, kind, name, public) of items in files that the entries reach through module declarations."""
     from graftwork.operators.closure import module_tree
 
-    parsed = rust.parse_files(files)
+    parsed = rust.parse_files(files, items=("kind", "name", "module", "attrs", "inline"), uses=False)
     declared = rust.declared_modules(parsed).select("path", F.concat_ws("::", F.concat("module", F.array("name"))).alias("module"), "candidates")
     tree = module_tree(declared, files, entries).select("path", "module_path")
     return scan_items(files, public_only).join(tree, "path").select("path", "module_path", "number", "kind", "name", "public")
 
 
-def declared_modules(files: DataFrame) -> DataFrame:
-    """(path, module, candidates) of `mod x;`: an explicit path, else x.rs, else x/mod.rs, below the file's own folder."""
-    return rust.declared_modules(rust.parse_files(files)).select("path", F.col("name").alias("module"), "candidates")
+def declared_modules(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, *keep, module, candidates) of `mod x;`: an explicit path, else x.rs, else x/mod.rs, below the file's own folder."""
+    parsed = rust.parse_files(files, keep=keep, items=("kind", "name", "module", "attrs", "inline"), uses=False)
+    return rust.declared_modules(parsed).select("path", *keep, F.col("name").alias("module"), "candidates")
 
 
 def automod(files: DataFrame, folder: Column) -> DataFrame:
@@ -162,13 +163,13 @@ def automod(files: DataFrame, folder: Column) -> DataFrame:
     return files.filter((F.regexp_replace("path", r"/[^/]*$", "") == folder) & (name != "") & (name != "mod")).select("path", name.alias("module")).orderBy("module")
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """(path, module, name, target, glob) of `use` declarations, groups of any depth flattened.
+def imports(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, *keep, module, name, target, glob) of `use` declarations, groups of any depth flattened.
 
     `a::{self}` gives the key `self` and keeps it in its target; a later entry
     of a name overwrites an earlier one of its module.
     """
-    return rust.uses_of(rust.parse_files(files)).select("path", "module", "name", "target", "glob")
+    return rust.uses_of(rust.parse_files(files, keep=keep, items=())).select("path", *keep, "module", "name", "target", "glob")
 
 
 def token_counts(files: DataFrame, name: str) -> DataFrame:

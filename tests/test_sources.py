@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graftwork.operators import resolve
+from graftwork.plans import QUERIES
 from graftwork.sources import readers, rust, sinks
 from graftwork.sources.toml import TomlSource
 from graftwork.streaming import events
@@ -135,3 +136,21 @@ def test_broken_and_awkward_sources(spark):
 def test_marked_sources(spark):
     files = spark.createDataFrame([("a", "#[keep]\nfn a() {}"), ("b", "fn b() {}"), ("c", "#[keep]\nfn c( {"), ("d", "impl X { #[m::keep] fn d() {} }")], "path string, text string")
     assert {r.path for r in resolve.marked_sources(rust.parse_files(files), files, "(?:m::)?keep").collect()} == {"a", "c", "d"}
+
+
+def test_a_file_stays_in_its_row(spark):
+    """What a file keeps comes with its items and imports; of one name in a module the last import counts."""
+    files = spark.createDataFrame([(7, "use a::x;\nuse b::x;\nuse c::*;\nmod m { use d::x; use super::*; }\nfn f() {}"), (8, "fn broken( {")], "k int, text string").withColumn("path", F.lit("lib.rs"))
+    parsed = rust.parse_files(files, keep=("k",), items=("kind", "name", "attrs"))
+    assert parsed.columns == ["path", "k", "status", "items", "uses"] and {r.k: r.status for r in parsed.collect()} == {7: "ok", 8: "syntax"}
+    assert {(r.k, r.kind, r.name) for r in rust.items_of(parsed).collect()} == {(7, "Mod", "m"), (7, "Fn", "f")}
+    assert {(r.k, tuple(r.module), tuple(r.target)) for r in rust.uses_of(parsed).collect()} == {(7, (), ("b", "x")), (7, (), ("c",)), (7, ("m",), ("d", "x")), (7, ("m",), ("super",))}
+    assert {r.k: r.inherits for r in rust.inherits(parsed).collect()} == {7: True, 8: False}
+    assert rust.parse_files(files, items=(), uses=False).columns == ["path", "status"]
+
+
+@pytest.mark.parametrize("name", ["parse_status"])
+def test_sources_are_parsed_once_on_all_cores(spark, name):
+    """A table of one small file isn't one task's work, and no row is joined to what it was parsed from."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
