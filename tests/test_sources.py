@@ -149,7 +149,7 @@ def test_a_file_stays_in_its_row(spark):
     assert rust.parse_files(files, items=(), uses=False).columns == ["path", "status"]
 
 
-@pytest.mark.parametrize("name", ["parse_status", "use_trees", "source_items", "registered_callables"])
+@pytest.mark.parametrize("name", ["parse_status", "use_trees", "source_items", "registered_callables", "module_candidates"])
 def test_sources_are_parsed_once_on_all_cores(spark, name):
     """A table of one small file isn't one task's work, and no row is joined to what it was parsed from."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
