@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from graftwork.functions import arguments, hashing, ident, kleene
-from graftwork.operators import audit, closure, diag, edits, loops, order, preflight, resolve, spans, verdict
+from graftwork.operators import audit, closure, diag, edges, edits, loops, order, preflight, resolve, spans, verdict
 
 GRAPH = {
     "a::open_source_entry": ["b::compute", "c::adjust"],
@@ -425,3 +425,22 @@ def test_no_folder_of_the_machine(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_folder(Bare())
+
+
+def edge_sums(rows):
+    out = {}
+    for r in rows:
+        n, total = out.get(r.owner, (0, 0))
+        out[r.owner] = (n + 1, total + r.dep)
+    return out
+
+
+def test_ufcs_counts_are_those_of_the_edges(spark):
+    """Ids under several keys, repeated rows, owners that meet themselves, nulls; and no row for each edge."""
+    rnd = random.Random(3)
+    methods = [("p", rnd.choice("ABC"), rnd.choice(["x", "y", None]), rnd.randrange(2), rnd.choice([None, *range(40)])) for _ in range(90)]
+    calls = [(rnd.choice([None, *range(30)]), "p", rnd.choice(["A", "B", "C", None]), rnd.choice(["x", "y", "z", None]), rnd.randrange(2)) for _ in range(60)]
+    methods = spark.createDataFrame(methods, "package string, type_path string, trait_path string, method int, id bigint")
+    calls = spark.createDataFrame(calls, "owner bigint, package string, type_path string, trait_path string, method int")
+    want = edge_sums(edges.ufcs_method(calls, methods).collect())
+    assert want and {r.owner: (r.n, r.total) for r in edges.ufcs_counts(calls, methods).collect()} == want
