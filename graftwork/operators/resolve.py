@@ -204,7 +204,22 @@ def edges_by_method(calls: DataFrame, index: DataFrame) -> DataFrame:
     met = asked.join(split, ["package", "type_path", "method"])
     own, common = met.select("owner", F.explode("_own").alias("dep")), met.select("owner", F.explode("_shared").alias("dep")).distinct()
     typed = own.unionByName(common).select("owner", "dep", F.lit("receiver_method").alias("kind"))
+    return typed.filter("owner <> dep").unionByName(single_name_edges(calls, index))
+
+
+def single_name_edges(calls: DataFrame, index: DataFrame) -> DataFrame:
+    """(owner, dep, kind) of calls without a receiver type whose method has one candidate."""
     ends = index.filter(F.size("ids") > 0).groupBy("package", "method").agg(F.min(F.array_min("ids")).alias("_lo"), F.max(F.array_max("ids")).alias("_hi"))
     bare = calls.filter("type_path is null").select("owner", "package", "method").distinct().join(ends.filter("_lo = _hi"), ["package", "method"])
-    single = bare.select("owner", F.col("_lo").alias("dep"), F.lit("single_name").alias("kind")).distinct()
-    return typed.unionByName(single).filter("owner <> dep")
+    return bare.select("owner", F.col("_lo").alias("dep"), F.lit("single_name").alias("kind")).filter("owner <> dep").distinct()
+
+
+def method_edge_counts(calls: DataFrame, index: DataFrame) -> DataFrame:
+    """(owner, n, total): the number of `edges_by_method`'s rows of each owner and the sum of their numeric ids, typed calls counted by receiver."""
+    from graftwork.operators.edges import key_counts
+
+    keys = ["package", "type_path", "method"]
+    asked = calls.filter("type_path is not null").select("owner", *keys).distinct()
+    typed = key_counts([(asked, index.select(*keys, F.explode("ids").alias("id")), keys)])
+    single = single_name_edges(calls, index).select("owner", F.lit(1).cast("bigint").alias("n"), F.col("dep").cast("bigint").alias("total"))
+    return typed.unionByName(single).groupBy("owner").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

@@ -444,3 +444,14 @@ def test_ufcs_counts_are_those_of_the_edges(spark):
     calls = spark.createDataFrame(calls, "owner bigint, package string, type_path string, trait_path string, method int")
     want = edge_sums(edges.ufcs_method(calls, methods).collect())
     assert want and {r.owner: (r.n, r.total) for r in edges.ufcs_counts(calls, methods).collect()} == want
+
+
+def test_method_counts_are_those_of_the_edges(spark):
+    """An id under two receivers counts once for an owner; calls without a receiver keep their single match."""
+    rnd = random.Random(5)
+    methods = [("p", rnd.choice("ABC"), rnd.randrange(4), rnd.randrange(40)) for _ in range(60)] + [("p", "A", 9, 3)]
+    calls = [(rnd.choice([None, *range(30)]), "p", rnd.choice(["A", "B", "C", None]), rnd.choice([0, 1, 2, 3, 9])) for _ in range(80)]
+    index = resolve.methods_by_receiver(spark.createDataFrame(methods, "package string, type_path string, method int, id bigint"))
+    calls = spark.createDataFrame(calls, "owner bigint, package string, type_path string, method int")
+    want = edge_sums(resolve.edges_by_method(calls, index).collect())
+    assert want and {r.owner: (r.n, r.total) for r in resolve.method_edge_counts(calls, index).collect()} == want
