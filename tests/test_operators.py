@@ -455,3 +455,13 @@ def test_method_counts_are_those_of_the_edges(spark):
     calls = spark.createDataFrame(calls, "owner bigint, package string, type_path string, method int")
     want = edge_sums(resolve.edges_by_method(calls, index).collect())
     assert want and {r.owner: (r.n, r.total) for r in resolve.method_edge_counts(calls, index).collect()} == want
+
+
+def test_trait_bound_counts_are_those_of_the_edges(spark):
+    rnd = random.Random(7)
+    methods = [("p", rnd.choice(["x", "y", None]), rnd.randrange(3), rnd.choice([None, *range(40)])) for _ in range(90)]
+    calls = [(rnd.choice([None, *range(30)]), "p", rnd.choice(["x", "y", "z", None]), rnd.randrange(3)) for _ in range(60)]
+    methods = spark.createDataFrame(methods, "package string, trait_path string, method int, id bigint")
+    calls = spark.createDataFrame(calls, "owner bigint, package string, bound string, method int")
+    want = edge_sums(edges.trait_bound_method(calls, methods).collect())
+    assert want and {r.owner: (r.n, r.total) for r in edges.trait_bound_counts(calls, methods).collect()} == want
