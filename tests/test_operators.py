@@ -465,3 +465,13 @@ def test_trait_bound_counts_are_those_of_the_edges(spark):
     calls = spark.createDataFrame(calls, "owner bigint, package string, bound string, method int")
     want = edge_sums(edges.trait_bound_method(calls, methods).collect())
     assert want and {r.owner: (r.n, r.total) for r in edges.trait_bound_counts(calls, methods).collect()} == want
+
+
+def test_trait_bound_edges_reads_every_call(spark):
+    """Nearly every order has a line of a bound method, whatever its quantity."""
+    from graftwork.plans import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    assert "l_quantity" not in ORACLES["trait_bound_edges"]
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").filter("l_quantity < 50").select("l_orderkey").distinct()
+    assert QUERIES["trait_bound_edges"](spark, folder).count() >= lines.count() * 0.9
