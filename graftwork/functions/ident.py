@@ -91,11 +91,17 @@ def diagnostic_symbol(code: Column, message: Column, rendered: Column) -> Column
     return F.coalesce(owner, first_ticked(message), first_ticked(rendered))
 
 
+#: After what is no name at the start, at most 96 letters, digits, hyphens, or runs of anything else that a name follows.
+SLUG = r"^[^A-Za-z0-9-]*+((?:[A-Za-z0-9-]|[^A-Za-z0-9-]++(?=[A-Za-z0-9-])){0,96}+)"
+
+
 def output_slug(ordinal: Column, text: Column) -> Column:
-    """`0001-name`: other characters to `_`, runs collapsed, ends trimmed, at most 96."""
-    clean = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_-]", "_"), "_+", "_")
-    clean = F.regexp_replace(clean, "^_+|_+$", "")
-    clean = F.substring(F.when(clean == "", "root").otherwise(clean), 1, 96)
+    """`0001-name`: other characters to `_`, runs collapsed, ends trimmed, at most 96.
+
+    The pattern stops where the slug is full, so a long text costs no more than a short one.
+    """
+    clean = F.regexp_replace(F.regexp_extract(text, SLUG, 1), "[^A-Za-z0-9-]+", "_")
+    clean = F.when(clean == "", "root").otherwise(clean)
     number = ordinal.cast("string")
     return F.concat(F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0")), F.lit("-"), clean)  # lpad cuts what is longer
 

@@ -1,6 +1,8 @@
 """Operators on small hand-written tables: cycles, ties, nulls, empty tables."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -475,3 +477,21 @@ def test_trait_bound_edges_reads_every_call(spark):
     assert "l_quantity" not in ORACLES["trait_bound_edges"]
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").filter("l_quantity < 50").select("l_orderkey").distinct()
     assert QUERIES["trait_bound_edges"](spark, folder).count() >= lines.count() * 0.9
+
+
+def test_slugs_of_any_text(spark):
+    """The first 96 characters of the cleaned text: runs at the ends, at the cut, and nothing but runs."""
+    rnd = random.Random(9)
+    texts = ["", "___", "é" * 200, "-_-", "a" * 95 + "_ b", "a" * 96 + " ", "\n\n" + "é\U0001f600" * 50 + "a" * 94 + "__ \n" + "b" * 300] + ["".join(rnd.choices("aZ9-_ é\n\U0001f600", k=rnd.randrange(300))) for _ in range(200)]
+    clean = [re.sub("^_+|_+$", "", re.sub("_+", "_", re.sub("[^A-Za-z0-9_-]", "_", x))) for x in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "n bigint, t string").orderBy("n").select(ident.output_slug(F.col("n"), F.col("t")).alias("s")).collect()
+    assert [r.s for r in got] == [f"{n:04}-{(c or 'root')[:96]}" for n, c in enumerate(clean)]
+
+
+def test_slugs_stop_where_they_are_full(spark):
+    """A text of many megabytes costs no more than its start."""
+    long = spark.range(40).select("id", F.repeat(F.lit("ab cd\n"), F.lit(500_000)).alias("t")).persist()
+    assert long.count() == 40
+    start = time.monotonic()
+    assert long.select(F.length(ident.output_slug(F.col("id"), F.col("t"))).alias("n")).agg(F.sum("n")).first()[0] == 40 * 101
+    assert time.monotonic() - start < 20
